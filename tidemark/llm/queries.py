@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import decontaminate, language, packing, quality_rules, sharding
+from .scratch import written
 
 TOPOLOGY = sharding.Topology.balanced(regions=2, racks=2, shards=4)
 
@@ -19,13 +20,45 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language.train(docs, ~held_out)
+    found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    items = F.coalesce(F.col("_items"), F.array().cast("array<string>"))
+    return found.select(
+        "doc_id",
+        F.col("_n").alias("n_words"),
+        decontaminate.n_hit().alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size(items) > 0).alias("contaminated"),
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieced = written(packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer()), "pieces")
+    return packing.pack(pieced)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.judged(_table(spark, sf_dir, "documents"))
     return q.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", "_q.kept")
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op7_quality_rules": op7_quality_rules}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
