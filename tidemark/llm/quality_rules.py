@@ -43,11 +43,11 @@ class LineRules:
     """The thresholds. Shares are of a line's characters other than white space, or of its words."""
 
     max_symbol_share: float = 0.08
-    max_upper_share: float = 0.6
     min_upper_words: int = 3
     max_shout_share: float = 0.3
     max_bar_share: float = 0.2
-    max_run: int = 4
+    min_stutter_words: int = 8
+    max_word_uses: int = 6
     min_kept_share: float = 0.7
     min_words: int = 50
 
@@ -61,6 +61,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
 
 
+def _bound(c: Column, f) -> Column:
+    """f of an expression's value, which is worked out once however often f uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def covered_words(ws: Column) -> Column:
     """How many words lie in a window of three words that occurs more than once in the text.
 
@@ -69,12 +74,8 @@ def covered_words(ws: Column) -> Column:
     """
     hashes = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
 
-    def bound(c: Column, f) -> Column:
-        """f of an expression's value, which is worked out once and not for each element of a lambda's array."""
-        return F.element_at(F.transform(F.array(c), f), 1)
-
     def marked(h: Column) -> Column:
-        hit = bound(
+        hit = _bound(
             F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
             lambda s: F.transform(
                 s, lambda x, j: F.when((x["h"] == F.get(s, j + 1)["h"]) | ((j > 0) & (x["h"] == F.get(s, j - 1)["h"])), x["i"])
@@ -89,30 +90,29 @@ def covered_words(ws: Column) -> Column:
 
     none = F.lit(0).cast("long")
     return F.when(F.size(ws) < 4, none).otherwise(
-        bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(marked(h)))
+        _bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(marked(h)))
     )
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
     """Whether a line that has a word is to go."""
-    bare = _bare(line)
-    n = F.char_length(bare)
-    ws = words(line)
-    n_words = F.size(ws)
-    symbols = n - F.char_length(F.translate(bare, SYMBOLS, ""))
-    letters = F.char_length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-    uppers = F.char_length(F.regexp_replace(bare, r"[^\p{Lu}]", ""))
-    shouts = F.size(F.split(line, "!!")) - 1
-    bars = F.size(F.split(line, r"\|")) - 1
-    lower = F.lower(line)
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | F.contains(lower, F.lit(phrase))
-    punctuation = (symbols > n * rules.max_symbol_share) | (shouts > n_words * rules.max_shout_share)
-    shouting = (n_words >= rules.min_upper_words) & (letters > 0) & (uppers > letters * rules.max_upper_share)
-    navigation = bars > n_words * rules.max_bar_share
-    stutter = F.lit("(?:^|\\s)(\\S+)(?:\\s+\\1){" + str(rules.max_run - 1) + ",}(?:\\s|$)")
-    return punctuation | shouting | navigation | boiler | F.regexp_like(line, stutter)
+
+    def judge(x: Column) -> Column:
+        bare, ws, lower = x["bare"], x["ws"], x["lower"]
+        n, n_words = F.char_length(bare), F.size(ws)
+        symbols = n - F.char_length(F.translate(bare, SYMBOLS, ""))
+        shouts = F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"), F.lit("!")))
+        bars = F.char_length(line) - F.char_length(F.translate(line, "|", ""))
+        boiler = F.lit(False)
+        for phrase in BOILERPLATE:
+            boiler = boiler | F.contains(lower, F.lit(phrase))
+        punctuation = (symbols > n * rules.max_symbol_share) | (shouts > n_words * rules.max_shout_share)
+        shouting = (n_words >= rules.min_upper_words) & (lower != line) & (F.upper(line) == line)
+        navigation = bars > n_words * rules.max_bar_share
+        stutter = (n_words >= rules.min_stutter_words) & (n_words > rules.max_word_uses * F.size(F.array_distinct(ws)))
+        return punctuation | shouting | navigation | boiler | stutter
+
+    return _bound(F.struct(_bare(line).alias("bare"), words(line).alias("ws"), F.lower(line).alias("lower")), judge)
 
 
 def judged(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
