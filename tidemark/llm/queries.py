@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality_rules, sharding
+from . import decontaminate, language, packing, quality_rules, repeats, sharding
 from .scratch import written
 
 TOPOLOGY = sharding.Topology.balanced(regions=2, racks=2, shards=4)
@@ -57,6 +57,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", "_q.kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.covered_text(_table(spark, sf_dir, "documents"), repeats.Bytes(50))
+    return found.select("doc_id", F.col("_units").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_runs").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.covered_text(_table(spark, sf_dir, "documents"), repeats.Words(13))
+    return found.select("doc_id", F.col("_units").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
