@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality_rules, repeats, sharding
-from .scratch import written
+from . import decontaminate, language, packing, quality_rules, repeats, sharding, warc
+from .scratch import shared_dir, written
 
 TOPOLOGY = sharding.Topology.balanced(regions=2, racks=2, shards=4)
 
@@ -47,6 +49,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    index = warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, index, folder).drop("url", "payload")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieced = written(packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer()), "pieces")
     return packing.pack(pieced)
@@ -71,5 +79,28 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+def _base32(sha1_hex: str) -> str:
+    """DuckDB SQL for the base32 form of a SHA-1 in hex: 8 x 20 bits, each four letters."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    bits = [f"(('0x' || substr({sha1_hex}, {5 * i + 1}, 5))::INT >> {s} & 31)" for i in range(8) for s in (15, 10, 5, 0)]
+    return "concat(" + ", ".join(f"substr({letters}, {b} + 1, 1)" for b in bits) + ")"
+
+
+ORACLES = {
+    "op5_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+    SELECT page_id, payload_bytes, {_base32('h')} AS payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
+    "op8_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+    p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    n AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, unnest(list_transform(range(1, len(ws) - 11), lambda k: array_to_string(ws[k:k + 12], ' '))) AS s FROM w WHERE len(ws) >= 13),
+    m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS again FROM n),
+    c AS (SELECT p.doc_id, p.word, p.i, coalesce(max(m.again::INT) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) AS gone FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.i = m.i),
+    g AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON w.doc_id = g.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL where SQL can express the whole result."""
+    return {k: v for k, v in ORACLES.items() if v}
