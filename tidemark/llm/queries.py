@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality_rules, repeats, sharding, warc
+from . import crf_quality, decontaminate, jaccard, language, packing, quality_rules, repeats, sharding, warc
 from .scratch import shared_dir, written
 
 TOPOLOGY = sharding.Topology.balanced(regions=2, racks=2, shards=4)
@@ -75,8 +75,22 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_units").alias("n_words"), F.col("_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = crf_quality.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    found = crf_quality.scored(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    import corpus_pipeline
+
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {"pipeline": corpus_pipeline.run}
 
 
 def _base32(sha1_hex: str) -> str:
@@ -103,4 +117,6 @@ ORACLES = {
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the whole result."""
-    return {k: v for k, v in ORACLES.items() if v}
+    import corpus_pipeline
+
+    return dict(ORACLES) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
