@@ -176,6 +176,21 @@ def _cells(keys: np.ndarray, row: int, buckets: int, bits: int) -> tuple[np.ndar
     return bucket.astype(np.int64), (mix(keys + _U(row + 1) * _R[0]) >> _U(64 - bits)).astype(np.int64)
 
 
+def _words64(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, _U)
+
+
+def _ids_in(ids: np.ndarray) -> bytes:
+    """Ids as the distinct ones and small places among them."""
+    own, place = np.unique(ids, return_inverse=True)
+    return np.int64(len(own)).tobytes() + own.tobytes() + place.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes()
+
+
+def _ids_out(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    return np.frombuffer(blob, np.int64, n, 8)[np.frombuffer(blob, np.uint16 if n <= 1 << 16 else np.uint32, offset=8 + 8 * n)]
+
+
 def _pack(cells: np.ndarray) -> bytes:
     """Sorted cells as byte steps; 255 carries on."""
     steps = np.diff(cells, prepend=0)
@@ -251,11 +266,11 @@ def covered_text(docs: DataFrame, kind, key: str = "doc_id", text: str = "text",
             piece = table.column("_piece")[0].as_py()
             bucket = (((a >> _U(32)) * _U(n_buckets)) >> _U(32)).astype(np.int64)
             cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            out = [(k, piece, a[x:y].tobytes(), b[x:y].tobytes(), lows[x:y].tobytes()) for k, x, y in zip(range(n_buckets), cut[:-1], cut[1:]) if x < y]
+            out = [(k, piece, a[x:y].tobytes(), b[x:y].tobytes(), _ids_in(lows[x:y])) for k, x, y in zip(range(n_buckets), cut[:-1], cut[1:]) if x < y]
         return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("_bucket", pa.int32()), ("_piece", pa.int32()), ("_a", pa.binary()), ("_b", pa.binary()), ("_low", pa.binary())))})
 
     def smaller(table: pa.Table) -> pa.Table:
-        parts = [[np.frombuffer(x, d) for x in table.column(c).to_pylist()] for c, d in (("_a", _U), ("_b", _U), ("_low", np.int64))]
+        parts = [[f(x) for x in table.column(c).to_pylist()] for c, f in (("_a", _words64), ("_b", _words64), ("_low", _ids_out))]
         a, b, place, lows, _ = _lows((np.concatenate(parts[0]), np.concatenate(parts[1])), np.concatenate(parts[2]))
         out, at = [], 0
         for piece, own in zip(table.column("_piece").to_pylist(), parts[2]):
@@ -263,7 +278,7 @@ def covered_text(docs: DataFrame, kind, key: str = "doc_id", text: str = "text",
             at += len(own)
             p = p[lows[p] < own]
             if len(p):
-                out.append((piece, a[p].tobytes(), b[p].tobytes(), lows[p].tobytes()))
+                out.append((piece, a[p].tobytes(), b[p].tobytes(), _ids_in(lows[p])))
         return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("_piece", pa.int32()), ("_a", pa.binary()), ("_b", pa.binary()), ("_low", pa.binary())))})
 
     schema = docs.select(*keep).schema.add("_units", "long").add("_removed", "long").add("_runs", "long").add("_kept", "binary")
@@ -273,13 +288,12 @@ def covered_text(docs: DataFrame, kind, key: str = "doc_id", text: str = "text",
         found = kind.find(texts)
         mine = ids[found.doc]
         a, b, place, lows, _ = _lows(found.name, mine)
-        for x, y, low in zip(*(answers.column(c).to_pylist() for c in ("_a", "_b", "_low"))):
-            x, y, low = np.frombuffer(x, _U), np.frombuffer(y, _U), np.frombuffer(low, np.int64)
+        if answers.num_rows:
+            x, y, low = (np.concatenate([f(v) for v in answers.column(c).to_pylist()]) for c, f in (("_a", _words64), ("_b", _words64), ("_low", _ids_out)))
             p = np.searchsorted(a, x)
-            if len(np.unique(a)) != len(a):  # two names that share their first half: step to the one that is meant
-                while (go := (a[p] == x) & (b[p] < y)).any():
-                    p = p + go
-            lows[p] = np.minimum(lows[p], np.where((a[p] == x) & (b[p] == y), low, _NULL))
+            while (go := (a[np.minimum(p, len(a) - 1)] == x) & (b[np.minimum(p, len(a) - 1)] < y)).any():
+                p = p + go  # names that share their first half: step to the one that is meant
+            np.minimum.at(lows, p, low)
         start = found.start[lows[place] < mine]
         n = kind.units(texts)
         cover = np.zeros(n + 1, np.int32)
