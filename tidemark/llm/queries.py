@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf_quality, decontaminate, jaccard, language, packing, quality_rules, repeats, sharding, warc
-from .scratch import shared_dir, written
+from .scratch import shared_dir, ship, written
 
 TOPOLOGY = sharding.Topology.balanced(regions=2, racks=2, shards=4)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

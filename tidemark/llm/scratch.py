@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's source, once an application: they need not share the driver's folders."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        with zipfile.ZipFile(file := f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark-src.zip", "w") as z:
+            for p in sorted((root / "tidemark").rglob("*.py")):
+                z.write(p, p.relative_to(root))
+        sc.addPyFile(file)
+        _shipped.add(sc.applicationId)

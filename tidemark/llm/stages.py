@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, packing, quality_rules, repeats
-from .scratch import shared_dir, written
+from .scratch import shared_dir, ship, written
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,12 +18,14 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest id; rows without an id stay."""
+    ship(spark)
     gone = jaccard.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that repeat a passage of an earlier document; n_chars follows. Untouched texts keep their form."""
+    ship(spark)
     found = repeats.covered_text(docs, repeats.Words(13), keep=docs.columns)
     text = F.when(F.col("_removed") > 0, F.col("_kept").cast("string")).otherwise(F.col("text"))
     return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
@@ -31,12 +33,14 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    ship(spark)
     found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.coalesce(F.size("_items"), F.lit(0)) <= 0).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in training sequences."""
+    ship(spark)
     import public_tokenizers
 
     return packing.pack(written(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces"))
