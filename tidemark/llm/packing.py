@@ -11,37 +11,62 @@ given within their group; an empty table gives an empty result; only the named c
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of which a task remembers the ids.
-MEMO_WORDS = 400_000
+#: Words of which a process remembers the ids, and the bytes of text that it splits at once.
+MEMO_WORDS, RUN_BYTES = 500_000, 1 << 20
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes."""
+    """Token ids of texts as little-endian bytes, for a tokenizer that lowers case and parts words at white space.
+
+    A full stop or comma after an ASCII letter or digit is a token of its own, so a word's ids serve with and without it.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the cluster's tasks
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
 
+    def _learn(self, new: set[bytes]) -> None:
+        memo = self.memo
+        tails = {w for w in new if len(w) > 1 and w[-1] in b".," and (48 <= w[-2] <= 57 or 97 <= w[-2] <= 122)}
+        plain = list(((new - tails) | {w[:-1] for w in tails} | {w[-1:] for w in tails}) - memo.keys())
+        for w, e in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)):
+            memo[w] = array("I", e.ids).tobytes()
+        for w in tails:
+            memo[w] = memo[w[:-1]] + memo[w[-1:]]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        split = [(b if b"<|" in (b := t.encode("utf-8", "replace")) else b.lower()).split() for t in texts]
+        memo, used = self.memo, set().union(*split)
+        if len(memo) + len(used) > MEMO_WORDS:  # short words are the common ones
+            short = {w: i for w, i in memo.items() if len(w) <= 8} if len(memo) > MEMO_WORDS // 2 else {}
+            memo.clear()
+            memo.update(short if len(short) <= MEMO_WORDS // 2 else {})
+        if new := used - memo.keys():
+            self._learn(new)
+        return [b"".join([memo[w] for w in ws]) for ws in split]
+
     def __call__(self, text: str) -> bytes:
-        ws, memo = text.encode("utf-8", "replace").split(), self.memo
-        if new := [w for w in dict.fromkeys(ws) if w not in memo]:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(dict.fromkeys(ws))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                memo[w] = array("I", e.ids).tobytes()
-        return b"".join([memo[w] for w in ws])
+        return self.many([text])[0]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """This process's own, so that its tasks share what is remembered."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,14 +74,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, key:
     docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last = WordIds(path), array("I", [end]).tobytes()
+        ids_of, last = word_ids(path), array("I", [end]).tobytes()
         for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of(t.as_py() or "") + last
-                for p, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a : a + 4 * capacity]
-                    rows.append((k, p, a // 4, len(part) // 4, zlib.crc32(part)))
+            rows, keys, texts, i = [], batch.column(0).to_pylist(), batch.column(1), 0
+            while i < len(keys):
+                held, size, first = [], 0, i
+                while i < len(keys) and (not held or size < RUN_BYTES):
+                    held.append(texts[i].as_py() or "")
+                    size += len(held[-1])
+                    i += 1
+                for k, ids in zip(keys[first:i], ids_of.many(held)):
+                    ids += last
+                    for p, a in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[a : a + 4 * capacity]
+                        rows.append((k, p, a // 4, len(part) // 4, zlib.crc32(part)))
             cols = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=[key, "piece", "start", "length", "ids_crc32"])
 
