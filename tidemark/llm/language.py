@@ -52,16 +52,18 @@ class Model:
         return int(self.nodes.max()) + 1
 
 
-def _counts(texts: list[bytes], symbols: np.ndarray, a: int, order: int) -> np.ndarray:
-    out = np.zeros(a ** (order + 1), np.float32)
-    for t in texts:
-        s = np.concatenate([np.zeros(3, np.int64), symbols[np.frombuffer(t, np.uint8)]])
-        gram = s[3:].copy()
-        for k in range(1, order + 1):
-            gram += s[3 - k : len(s) - k] * a**k
-        where, n = np.unique(gram, return_counts=True)
-        out[where] += n
-    return out.reshape(-1, a)
+def _counts(texts: list[bytes], symbols: np.ndarray, a: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a context of ``order`` symbols and one more, in order, and how often each occurs."""
+    codes, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for i in range(0, len(texts), 16):
+        parts = [codes]
+        for t in texts[i : i + 16]:
+            s = np.concatenate([np.zeros(3, np.int64), symbols[np.frombuffer(t, np.uint8)]])
+            parts.append(sum(s[3 - k : len(s) - k] * a**k for k in range(order + 1)))
+        weight = np.concatenate([n, np.ones(sum(map(len, parts[1:])), np.int64)])
+        codes, place = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(place, weight, len(codes)).astype(np.int64)
+    return codes, n
 
 
 def fit(by_lang: dict[str, list[bytes]]) -> Model:
@@ -71,24 +73,28 @@ def fit(by_lang: dict[str, list[bytes]]) -> Model:
     symbols[seen] = np.arange(2, 2 + len(seen))
     a = 2 + len(seen)
     tables = [[_counts(by_lang[x], symbols, a, k) for k in range(4)] for x in langs]
-    lens = [np.unique(np.concatenate([np.flatnonzero(t[k].sum(axis=1)) for t in tables])) for k in range(4)]
-    node = np.zeros(1, np.int32)
-    contexts = [(0, 0)]
+    node, orders, codes = np.zeros(1, np.int32), [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     for k in range(1, 4):  # node 0: the empty context; a longer context that nobody has seen is its suffix's node
-        here = np.tile(node, a)
-        here[lens[k]] = len(contexts) + np.arange(len(lens[k]))
-        contexts += [(k, int(c)) for c in lens[k]]
-        node = here
-    orders, codes = np.array([c[0] for c in contexts]), np.array([c[1] for c in contexts])
-    costs = np.empty((len(contexts), a, len(langs)), np.float32)
+        own = np.unique(np.concatenate([t[k][0] // a for t in tables]))
+        node = np.tile(node, a)
+        node[own] = sum(map(len, codes)) + np.arange(len(own))
+        orders.append(np.full(len(own), k))
+        codes.append(own)
+    orders, codes = np.concatenate(orders), np.concatenate(codes)
+    costs = np.empty((len(codes), a, len(langs)), np.float32)
     for i, table in enumerate(tables):
-        cost = np.full((len(contexts), a), 8.0)
+        cost = np.full((len(codes), a), 8.0, np.float32)
         for k in range(4):  # from the shortest context to the longest
             own = np.flatnonzero(orders >= k)
-            c = table[k][codes[own] % a**k]
-            total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cost[own] = np.where(total == 0, cost[own], np.where(c > 0, -np.log2(c / (total + kinds)), cost[own] - np.log2(kinds / (total + kinds))))
+            contexts, back = np.unique(codes[own] % a**k, return_inverse=True)
+            grams, n = table[k]
+            dense = np.zeros((len(contexts), a), np.float32)
+            dense[np.searchsorted(contexts, grams // a), grams % a] = n
+            for j in range(0, len(own), 4096):  # some rows at a time
+                c, rows = dense[back[j : j + 4096]], own[j : j + 4096]
+                total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cost[rows] = np.where(total == 0, cost[rows], np.where(c > 0, -np.log2(c / (total + kinds)), cost[rows] - np.log2(kinds / (total + kinds))))
         costs[:, :, i] = cost
     return Model(langs, symbols, node, costs.reshape(-1, len(langs)))
 
