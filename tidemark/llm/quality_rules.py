@@ -144,4 +144,5 @@ def judged(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
         kept.alias("kept"),
         F.array_join("_good", "\n").alias("clean"),
     )
-    return df.withColumn("_q", q).drop("_w", "_lines", "_n", "_chars", "_symbols", "_dups", "_repeats", "_good")
+    # a generated column: a filter on it stays above, and does not copy what it needs into each lambda
+    return df.select("*", F.explode(F.array(q)).alias("_q")).drop("_w", "_lines", "_n", "_chars", "_symbols", "_dups", "_repeats", "_good")
