@@ -120,7 +120,7 @@ def judged(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.char_length(_bare(x)) > 0)
     good = F.filter(F.col("_lines"), lambda x: ~line_fails(x, rules))
-    df = docs.withColumns({"_w": words(t), "_lines": lines})
+    df = docs.drop("_q").withColumns({"_w": words(t), "_lines": lines})  # columns of these names are replaced
     df = df.withColumns(
         {
             "_n": F.size("_w").cast("long"),
