@@ -50,12 +50,14 @@ class WordIds:
 
     def many(self, texts: list[str]) -> list[bytes]:
         split = [(b if b"<|" in (b := t.encode("utf-8", "replace")) else b.lower()).split() for t in texts]
-        memo, used = self.memo, set().union(*split)
-        if len(memo) + len(used) > MEMO_WORDS:  # short words are the common ones
+        memo = self.memo
+        new = {w for ws in split for w in ws if w not in memo}
+        if len(memo) + len(new) > MEMO_WORDS:  # short words are the common ones
             short = {w: i for w, i in memo.items() if len(w) <= 8} if len(memo) > MEMO_WORDS // 2 else {}
             memo.clear()
             memo.update(short if len(short) <= MEMO_WORDS // 2 else {})
-        if new := used - memo.keys():
+            new = {w for ws in split for w in ws if w not in memo}
+        if new:
             self._learn(new)
         return [b"".join([memo[w] for w in ws]) for ws in split]
 
