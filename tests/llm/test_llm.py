@@ -175,6 +175,19 @@ def test_packing(spark):
     assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 256) + 1
 
 
+def test_word_ids_are_the_tokenizers():
+    from array import array
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), packing.WordIds(path)
+    texts = ["", "It's a's'sx 'RE're'v 12.5%.. we'll.' 'd 's.", "<|endoftext|>. <|EndOfText|> abc<|endoftext|>!", "é'S É. x\u0301. \u0130!, \u212aK. l'été?! x². a_b_ '' \x1c. e\u0301,", "erbleon.&&& thear,%%% <|startoftext|>.,", *(t or "" for t in ODD)]
+    for text in [*texts, " ".join(texts)]:
+        assert own(text) == array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 def test_local_search_empties_bins():
     lengths = [6, 6, 5, 5, 4, 4, 3, 3, 2, 2]
     start = [[i] for i in range(len(lengths))]

@@ -12,6 +12,7 @@ given within their group; an empty table gives an empty result; only the named c
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from array import array
 from bisect import bisect_left
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 
 #: Words of which a process remembers the ids, and the bytes of text that it splits at once.
 MEMO_WORDS, RUN_BYTES = 500_000, 1 << 20
+PUNCTUATION = string.punctuation.encode()
 
 
 class WordIds:
     """Token ids of texts as little-endian bytes, for a tokenizer that lowers case and parts words at white space.
 
-    A full stop or comma after an ASCII letter or digit is a token of its own, so a word's ids serve with and without it.
+    ASCII punctuation after an ASCII letter or digit is parted from it, so a word's ids are those of its stem and its tail.
+    A stem of ASCII letters is one word to the model, which is then asked itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,13 +43,24 @@ class WordIds:
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
 
     def _learn(self, new: set[bytes]) -> None:
-        memo = self.memo
-        tails = {w for w in new if len(w) > 1 and w[-1] in b".," and (48 <= w[-2] <= 57 or 97 <= w[-2] <= 122)}
-        plain = list(((new - tails) | {w[:-1] for w in tails} | {w[-1:] for w in tails}) - memo.keys())
-        for w, e in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)):
+        memo, cut = self.memo, {}
+        for w in new:
+            stem = w.rstrip(PUNCTUATION)
+            if len(stem) < len(w) and stem and (48 <= stem[-1] <= 57 or 97 <= stem[-1] <= 122) and b"<|" not in w:
+                cut[w] = stem, w[len(stem) :]
+        plain = (new - cut.keys()).union(*cut.values())
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for w in plain:
+            if w in memo:
+                continue
+            if w.isalpha() and w.islower():
+                memo[w] = array("I", [t.id for t in tokenize(w.decode())]).tobytes()
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             memo[w] = array("I", e.ids).tobytes()
-        for w in tails:
-            memo[w] = memo[w[:-1]] + memo[w[-1:]]
+        for w, (stem, tail) in cut.items():
+            memo[w] = memo[stem] + memo[tail]
 
     def many(self, texts: list[str]) -> list[bytes]:
         split = [(b if b"<|" in (b := t.encode("utf-8", "replace")) else b.lower()).split() for t in texts]
