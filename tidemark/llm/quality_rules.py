@@ -58,7 +58,7 @@ def _bare(c: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text: maximal runs of characters other than white space."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    return F.array_remove(F.split(text, f"[{SPACES}]+", -1), "")
 
 
 def _bound(c: Column, f) -> Column:
@@ -94,39 +94,59 @@ def covered_words(ws: Column) -> Column:
     )
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether a line that has a word is to go."""
+def parsed_lines(text: Column) -> Column:
+    """The lines that have a word, in order, each with its words, their characters and its symbols."""
 
-    def judge(x: Column) -> Column:
-        bare, ws, lower = x["bare"], x["ws"], x["lower"]
-        n, n_words = F.char_length(bare), F.size(ws)
-        symbols = n - F.char_length(F.translate(bare, SYMBOLS, ""))
+    def parse(line: Column) -> Column:
+        symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS, ""))
+        return _bound(
+            words(line),
+            lambda ws: F.struct(
+                line.alias("line"),
+                ws.alias("words"),
+                F.char_length(F.array_join(ws, "")).cast("long").alias("chars"),
+                symbols.cast("long").alias("symbols"),
+            ),
+        )
+
+    return F.transform(F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(f"[^{SPACES}]"))), parse)
+
+
+def line_fails(x: Column, rules: LineRules) -> Column:
+    """Whether a line of ``parsed_lines`` is to go."""
+    line, ws, n, n_words = x["line"], x["words"], x["chars"], F.size(x["words"])
+
+    def judge(lower: Column) -> Column:
         shouts = F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"), F.lit("!")))
-        bars = F.char_length(line) - F.char_length(F.translate(line, "|", ""))
+        bars = F.char_length(line) - F.char_length(F.replace(line, F.lit("|"), F.lit("")))
         boiler = F.lit(False)
         for phrase in BOILERPLATE:
             boiler = boiler | F.contains(lower, F.lit(phrase))
-        punctuation = (symbols > n * rules.max_symbol_share) | (shouts > n_words * rules.max_shout_share)
+        punctuation = (x["symbols"] > n * rules.max_symbol_share) | (shouts > n_words * rules.max_shout_share)
         shouting = (n_words >= rules.min_upper_words) & (lower != line) & (F.upper(line) == line)
         navigation = bars > n_words * rules.max_bar_share
         stutter = (n_words >= rules.min_stutter_words) & (n_words > rules.max_word_uses * F.size(F.array_distinct(ws)))
         return punctuation | shouting | navigation | boiler | stutter
 
-    return _bound(F.struct(_bare(line).alias("bare"), words(line).alias("ws"), F.lower(line).alias("lower")), judge)
+    return _bound(F.lower(line), judge)
 
 
 def judged(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """The input with one struct column ``_q``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.char_length(_bare(x)) > 0)
-    good = F.filter(F.col("_lines"), lambda x: ~line_fails(x, rules))
-    df = docs.drop("_q").withColumns({"_w": words(t), "_lines": lines})  # columns of these names are replaced
+    good = F.transform(F.filter(F.col("_lines"), lambda x: ~line_fails(x, rules)), lambda x: x["line"])
+
+    def total(field: str) -> Column:
+        return F.aggregate(F.col(f"_lines.{field}"), F.lit(0).cast("long"), lambda a, n: a + n)
+
+    df = docs.drop("_q").withColumn("_lines", parsed_lines(t))  # columns of these names are replaced
+    df = df.withColumn("_w", F.flatten("_lines.words"))
     df = df.withColumns(
         {
             "_n": F.size("_w").cast("long"),
-            "_chars": F.char_length(_bare(t)).cast("long"),
-            "_symbols": (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "_dups": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "_chars": total("chars"),
+            "_symbols": total("symbols"),
+            "_dups": (F.size("_lines") - F.size(F.array_distinct("_lines.line"))).cast("long"),
             "_repeats": covered_words(F.col("_w")),
             "_good": F.array_distinct(good),
         }
