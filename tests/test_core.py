@@ -104,6 +104,20 @@ def test_rolling_and_resample(spark):
         timeops.resample_mean(df, "1M")
 
 
+def test_resample_gaps_takes_all_users_and_fills_the_whole_range(spark, tmp_path):
+    from tidemark.plans import catalogue
+
+    events = [(i, T0 + timedelta(seconds=47 * i * i), 5 * i % 11, "view", float(i)) for i in range(40)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    bins = {}
+    for _, t, _, _, v in events:
+        bins.setdefault(t.replace(second=0), []).append(v)
+    n = 1 + (max(bins) - min(bins)) // timedelta(minutes=1)
+    want = {t: round(sum(bins[t]) / len(bins[t]), 6) if t in bins else None for t in (min(bins) + timedelta(minutes=k) for k in range(n))}
+    got = catalogue.QUERIES["resample_gaps"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) > len(bins) and {r["datetime"]: r["conc"] for r in got} == want
+
+
 def test_mapping(spark):
     df = spark.createDataFrame([(1, 2)], "Timestamp int, value int")
     assert map_columns(df, required=["timestamp", "conc"], synonyms={"conc": ["VALUE"]}).frame.columns == ["timestamp", "conc"]

@@ -191,21 +191,21 @@ _trend("trend_by_group", "orders", "day", ("pollutant", "status"))
 query("time_bounds", 'SELECT min(ts) AS "start", max(ts) AS "end" FROM events')(lambda s, d: timeops.bounds_frame(source(s, d, "events")))
 
 
-def _resample(name: str, rule: str, width: int, keys: tuple[str, ...] = (), where: str = "true") -> None:
+def _resample(name: str, rule: str, width: int, keys: tuple[str, ...] = ()) -> None:
     k, kp = "".join(f"{x}, " for x in keys), f"PARTITION BY {', '.join(keys)}" if keys else ""
     using = ", ".join([*keys, "bin"])
     query(
         name,
-        f"""WITH b AS (SELECT {k}conc, date_trunc('day', min(datetime) OVER ({kp}))::TIMESTAMP AS origin, datetime FROM ({EVENTS}) WHERE {where}),
+        f"""WITH b AS (SELECT {k}conc, date_trunc('day', min(datetime) OVER ({kp}))::TIMESTAMP AS origin, datetime FROM ({EVENTS})),
         i AS (SELECT *, floor(date_diff('second', origin, datetime) / {width}.0)::BIGINT AS bin FROM b),
         s AS (SELECT {k}any_value(origin) AS origin, unnest(generate_series(min(bin), max(bin))) AS bin FROM i {'GROUP BY ' + ', '.join(keys) if keys else ''}),
         m AS (SELECT {k}bin, avg(conc) AS conc FROM i GROUP BY {k}bin)
         SELECT {k}origin + to_seconds(bin * {width}) AS datetime, round(conc, 6) AS conc FROM s LEFT JOIN m USING ({using})""",
-    )(lambda s, d: _rounded(timeops.resample_mean(source(s, d, "events").where(where), rule, columns=["conc"], keys=list(keys)), "conc"))
+    )(lambda s, d: _rounded(timeops.resample_mean(source(s, d, "events"), rule, columns=["conc"], keys=list(keys)), "conc"))
 
 
 _resample("resample_1h", "1h", 3600)
-_resample("resample_gaps", "1min", 60, where="site_id < 3")
+_resample("resample_gaps", "1min", 60)
 _resample("resample_7h", "7h", 25200)
 _resample("resample_by_category", "1D", 86400, ("pollutant",))
 
