@@ -64,6 +64,14 @@ def test_quality_rules_lines(spark):
     assert [r["kept"] for r in q] == [True, True, False, True] and q[1]["clean"] == good and q[3]["clean"] == good
 
 
+def test_quality_rules_capitals_and_stutter(spark):
+    good = "\n".join(prose(k, 30) + "." for k in range(4))
+    bad = ["BUY NOW CHEAP PILLS x", "ACHETEZ ÉTÉ ÀÉÈ DÉJÀ été", "buy buy buy buy buy now and get the best price", "so go\x0bgo  go\tgo on"]
+    fine = ["The EU and the UN met", "go go go on go go go", "gogo go go go gone", "ÉTÉ ÉTÉ 12 été été", "NO x"]
+    q = quality_rules.judged(docs(spark, [good + "\n" + x for x in bad + fine])).orderBy("doc_id").select("_q.clean").collect()
+    assert [r["clean"] for r in q] == [good] * len(bad) + [good + "\n" + x for x in fine]
+
+
 @pytest.mark.parametrize(("kind", "unit"), [(repeats.Words(13), "words"), (repeats.Bytes(50), "bytes")])
 def test_repeats_match_brute_force(spark, kind, unit):
     shared, r = prose(9, 60), random.Random(3)

@@ -43,11 +43,11 @@ class LineRules:
     """The thresholds. Shares are of a line's characters other than white space, or of its words."""
 
     max_symbol_share: float = 0.08
+    max_upper_share: float = 0.6
     min_upper_words: int = 3
     max_shout_share: float = 0.3
     max_bar_share: float = 0.2
-    min_stutter_words: int = 8
-    max_word_uses: int = 6
+    max_run: int = 4
     min_kept_share: float = 0.7
     min_words: int = 50
 
@@ -112,6 +112,19 @@ def parsed_lines(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(f"[^{SPACES}]"))), parse)
 
 
+def _stutters(ws: Column, run: int) -> Column:
+    """Whether a word stands ``run`` times in a row. Only a line with so many words more than distinct ones is searched."""
+    spare = F.size(ws) - F.size(F.array_distinct(ws))
+
+    def same(i: Column) -> Column:
+        out = F.get(ws, i) == F.get(ws, i + 1)
+        for k in range(2, run):
+            out = out & (F.get(ws, i) == F.get(ws, i + k))
+        return out
+
+    return (spare >= run - 1) & F.exists(F.sequence(F.lit(0), F.size(ws) - run), same)
+
+
 def line_fails(x: Column, rules: LineRules) -> Column:
     """Whether a line of ``parsed_lines`` is to go."""
     line, ws, n, n_words = x["line"], x["words"], x["chars"], F.size(x["words"])
@@ -123,10 +136,11 @@ def line_fails(x: Column, rules: LineRules) -> Column:
         for phrase in BOILERPLATE:
             boiler = boiler | F.contains(lower, F.lit(phrase))
         punctuation = (x["symbols"] > n * rules.max_symbol_share) | (shouts > n_words * rules.max_shout_share)
-        shouting = (n_words >= rules.min_upper_words) & (lower != line) & (F.upper(line) == line)
+        letters = F.char_length(F.regexp_replace(line, r"\P{L}+", ""))
+        uppers = F.char_length(F.regexp_replace(line, r"\P{Lu}+", ""))
+        shouting = (n_words >= rules.min_upper_words) & (uppers > letters * rules.max_upper_share)
         navigation = bars > n_words * rules.max_bar_share
-        stutter = (n_words >= rules.min_stutter_words) & (n_words > rules.max_word_uses * F.size(F.array_distinct(ws)))
-        return punctuation | shouting | navigation | boiler | stutter
+        return punctuation | navigation | boiler | shouting | _stutters(ws, rules.max_run)
 
     return _bound(F.lower(line), judge)
 
