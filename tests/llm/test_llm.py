@@ -150,6 +150,28 @@ def test_decontaminate(spark):
     assert decontaminate.find(docs(spark, texts), items.limit(0)).where("size(_items) > 0").count() == 0
 
 
+def test_decontaminate_proximity_in_production(spark, tmp_path):
+    from tidemark.llm import queries, stages
+
+    item = [f"v{k}" for k in range(30)]
+    worn = [x for k, w in enumerate(item) for x in ([w, "zz"] if k % 8 == 7 else [w])]
+    texts = [prose(1, 40), " ".join(worn), " ".join(item), None]
+    docs(spark, texts).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.op4_decontaminate(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r["n_items"], r["n_near"], r["contaminated"]) for r in got] == [(0, 0, False), (0, 1, False), (1, 1, True), (0, 0, False)]
+    left = stages.decontamination_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in left) == [0, 3]
+
+
+def test_decontaminate_near_is_one_span():
+    r = random.Random(2)
+    for _ in range(400):
+        ids, window, span = [r.randrange(-1, 6) for _ in range(40)], [r.randrange(6) for _ in range(4)], r.randrange(4, 8)
+        want = any(all(ids[a : a + span].count(t) >= window.count(t) for t in window) for a in range(len(ids)))
+        assert bool(len(decontaminate.Postings(np.array(ids, np.int32), 6).near(window, span))) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(5, "u5", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u3", None), (9, "a\r\nb", ""), (7, "u7", "x" * 100000), (2, "u2", "<p>é</p>")], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/w"

@@ -3,8 +3,8 @@
 The index is split by documents: each task builds, for the rows it holds, the sorted posting list (positions of a term in
 the row-after-row sequence of tokens) of every term that some test window has. A window is answered from its rarest term:
 that list, less the term's place in the window, is intersected with the other lists, rarest first, each less its own place.
-What is left are the exact occurrences. A proximity match of an item asks only that all terms of one of its windows occur
-within ``slop`` more words than the window has.
+What is left are the exact occurrences. A proximity match of an item asks only that one span of ``slop`` more
+words than one of its windows has holds all terms of that window, in any order, each as often as the window does.
 
 Test items go to the tasks in blocks of at most ``block_bytes`` of text, one pass over the rows for each block, so the
 broadcast is bounded however large the benchmark is.
@@ -15,6 +15,7 @@ and rows count each by itself; an empty benchmark hits nothing; only the named c
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 #: Rows are indexed in runs of about so many bytes.
 RUN_BYTES = 4 << 20
+#: A proximity match may spread over so many words more than its window has; 0 leaves proximity out.
+SLOP = 3
 
 
 def words(text: str | None) -> list[bytes]:
@@ -58,21 +61,30 @@ class Postings:
             found = found[self._has(self[window[k]], found + k)]
         return found
 
-    def near(self, window: list[int], span: int) -> bool:
-        """Whether all terms of the window occur within ``span`` words around one of its rarest term."""
-        terms = sorted(set(window), key=lambda t: self.starts[t + 1] - self.starts[t])
+    def near(self, window: list[int], span: int) -> np.ndarray:
+        """The places of the window's rarest term that lie in ``span`` words which hold all its terms, each as often as it does."""
+        need = Counter(window)
+        terms = sorted(need, key=lambda t: self.starts[t + 1] - self.starts[t])
         at = self[terms[0]]
-        low, high = at - span + 1, at + span - 1
-        for t in terms[1:]:
+        for t in terms:  # all terms are near enough to the place on either side
             if not len(at):
-                return False
-            own = self[t]
-            left = np.searchsorted(own, at, "right") - 1
-            before = np.where(left >= 0, own[np.maximum(left, 0)], -(10**9)) if len(own) else np.full(len(at), -(10**9))
-            after = np.where(left + 1 < len(own), own[np.minimum(left + 1, len(own) - 1)], 10**9) if len(own) else np.full(len(at), 10**9)
-            ok = (before >= low) | (after <= high)
-            at, low, high = at[ok], low[ok], high[ok]
-        return bool(len(at))
+                return at
+            at = at[self._within(t, need[t], at - span + 1, at + span - 1)]
+        found = [at[:0]]
+        for i in range(0, len(at), 4096):  # one span for all of them
+            some = at[i : i + 4096]
+            low = some[:, None] - np.arange(span)
+            ok = np.ones(low.shape, bool)
+            for t in terms:
+                ok &= self._within(t, need[t], low, low + span - 1)
+            found.append(some[ok.any(axis=1)])
+        return np.concatenate(found)
+
+    def _within(self, term: int, n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether the term occurs ``n`` times from ``low`` to ``high``."""
+        own = self[term]
+        last = np.searchsorted(own, low) + n - 1
+        return (last < len(own)) & (own[np.minimum(last, len(own) - 1)] <= high) if len(own) else np.zeros(low.shape, bool)
 
     @staticmethod
     def _has(sorted_list: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -100,16 +112,12 @@ def _answer(texts: list, terms: dict, windows: list, width: int, slop: int) -> l
             out[d]["exact"].add(item)
     if slop:
         for item, window in windows:
-            rare = min(set(window), key=lambda t: post.starts[t + 1] - post.starts[t])
-            for d in np.unique(np.searchsorted(starts, post[rare], "right") - 1):
-                if item not in out[d]["near"]:
-                    part = Postings(np.array(ids[starts[d] : starts[d + 1]], np.int32), len(terms))
-                    if part.near(window, len(window) + slop):
-                        out[d]["near"].add(item)
+            for d in np.unique(np.searchsorted(starts, post.near(window, len(window) + slop), "right") - 1):
+                out[d]["near"].add(item)
     return out
 
 
-def find(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = SLOP, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` with ``_n`` (words), ``_spans`` (hit spans), ``_items`` (exact) and ``_near`` (item ids as strings)."""
     found = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
     sized = found.select(F.sum(F.octet_length("t") + 64).alias("b")).first()["b"] or 0

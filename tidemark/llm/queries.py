@@ -47,6 +47,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (F.size(items) > 0).alias("contaminated"),
+        F.greatest(F.size("_near"), F.lit(0)).cast("long").alias("n_near"),
     )
 
 

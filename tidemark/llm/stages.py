@@ -32,10 +32,10 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark, in its words' order or near one another."""
     ship(spark)
     found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.coalesce(F.size("_items"), F.lit(0)) <= 0).select(*docs.columns)
+    return found.where((F.coalesce(F.size("_items"), F.lit(0)) <= 0) & (F.coalesce(F.size("_near"), F.lit(0)) <= 0)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
