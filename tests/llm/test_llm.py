@@ -111,6 +111,14 @@ def test_language(spark):
     assert language.train(docs(spark, []), F.lit(True)) is None
 
 
+def test_language_learns_every_language(spark):
+    rows = [(3 * i + j, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 7)}" for _ in range(8 + j)), f"l{i:02d}") for i in range(70) for j in range(3 if i < 69 else 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(table, F.col("doc_id") % 3 < 2)
+    got = language.identify(table, model).collect()
+    assert model.langs == [f"l{i:02d}" for i in range(70)] and all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_language_costs_are_the_recursion():
     train = {"a": [b"abracadabra", b"abba"], "b": [b"banana"]}
     model = language.fit(train)

@@ -5,8 +5,8 @@ context gives it with escape method C: count / (total + distinct), or an escape
 uniform code over 256 bytes. The costs are worked out once for every context that some language has seen, so scoring is two
 table look-ups a byte and exact. The language with the shortest code wins; the score is its share among the codes' weights.
 
-Learning reads at most ``per_language`` rows of a language (those with the smallest hash of the id) and at most
-``max_languages`` languages (the most frequent), which bounds what reaches the driver.
+Learning reads every language, at most ``per_language`` rows of each (those with the smallest hash of the id). Executors
+count the grams of a language; the driver gets the counts. The costs take (contexts x bytes seen x languages) floats.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; bytes never seen in learning cost the
 uniform code; ties go to the language first by name; repeated rows are scored each; with nothing to learn from all rows
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,13 +67,27 @@ def _counts(texts: list[bytes], symbols: np.ndarray, a: int, order: int) -> tupl
     return codes, n
 
 
+#: Every byte a symbol of its own, for counting before all languages' bytes are known; 0: start of text.
+_BYTES = np.arange(1, 257, dtype=np.int32)
+
+
+def grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A language's tree: for contexts of 0 to 3 bytes, the grams in order and how often each occurs."""
+    return [_counts(texts, _BYTES, 257, k) for k in range(4)]
+
+
 def fit(by_lang: dict[str, list[bytes]]) -> Model:
+    return fit_grams({x: grams(texts) for x, texts in by_lang.items()})
+
+
+def fit_grams(by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Model:
     langs = sorted(by_lang)
-    seen = np.unique(np.concatenate([np.frombuffer(b"".join(by_lang[x]), np.uint8) for x in langs]))
+    seen = np.unique(np.concatenate([by_lang[x][0][0] for x in langs])).astype(np.int64) - 1
     symbols = np.ones(256, np.int32)
     symbols[seen] = np.arange(2, 2 + len(seen))
     a = 2 + len(seen)
-    tables = [[_counts(by_lang[x], symbols, a, k) for k in range(4)] for x in langs]
+    dense = np.concatenate([np.zeros(1, np.int64), symbols])  # keeps the order of the bytes seen
+    tables = [[(sum(dense[codes // 257**j % 257] * a**j for j in range(k + 1)), n) for k, (codes, n) in enumerate(by_lang[x])] for x in langs]
     node, orders, codes = np.zeros(1, np.int32), [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     for k in range(1, 4):  # node 0: the empty context; a longer context that nobody has seen is its suffix's node
         own = np.unique(np.concatenate([t[k][0] // a for t in tables]))
@@ -99,18 +114,22 @@ def fit(by_lang: dict[str, list[bytes]]) -> Model:
     return Model(langs, symbols, node, costs.reshape(-1, len(langs)))
 
 
-def train(docs: DataFrame, usable: Column, per_language: int = 150, max_languages: int = 64, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model from rows where ``usable`` holds and the language is known."""
-    ok = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    top = [r[0] for r in ok.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_languages).collect()]
+def train(docs: DataFrame, usable: Column, per_language: int = 150, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    """A model from rows where ``usable`` holds and the language is known, of every language there is."""
+    ok = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where("t <> ''")
     first = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    ids = ok.where(F.col(lang).isin(top)).select(F.col(key).alias("k"), F.col(lang).alias("l"))
-    ids = [r[0] for r in ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("k").distinct().collect()]
-    by_lang: dict[str, list[bytes]] = {}
-    for t, x in ok.where(F.col(key).isin(ids) & F.col(lang).isin(top)).select(F.col(text), F.col(lang)).orderBy(key, text).limit(per_language * max(1, len(top))).collect():
-        if t:
-            by_lang.setdefault(x, []).append(t.encode())
-    return fit(by_lang) if by_lang else None
+    ids = ok.select("k", "l").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select(F.col("k").alias("_k"), F.col("l").alias("_l")).distinct()
+    rows = ok.join(F.broadcast(ids), F.col("k").eqNullSafe(F.col("_k")) & (F.col("l") == F.col("_l")), "left_semi")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))).where(F.col("r") <= per_language)  # ids may repeat
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = grams([t.encode() for t in pdf["t"]])
+        return pd.DataFrame({"l": pdf["l"].iloc[0], "k": range(4), "codes": [c.astype("<i8").tobytes() for c, _ in found], "n": [n.astype("<i8").tobytes() for _, n in found]})
+
+    by_lang: dict[str, list] = {}
+    for r in rows.select("l", "t").groupBy("l").applyInPandas(count, "l string, k int, codes binary, n binary").collect():
+        by_lang.setdefault(r["l"], [None] * 4)[r["k"]] = (np.frombuffer(r["codes"], "<i8"), np.frombuffer(r["n"], "<i8"))
+    return fit_grams(by_lang) if by_lang else None
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
