@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .repeats import _R, _SPACE, spans
+from .hashing import SPACE, range_hashes
 
 _RUN = 1 << 20
 _CLASSES = [np.isin(np.arange(256), list(chars)) for chars in (b"#*$%&<>", b"|", b"!", b"0123456789", b".,;:?", bytes(range(65, 91)), bytes(range(97, 123)), b"/@=_{}[]()", bytes(range(128, 256)))]
@@ -32,7 +32,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
     s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.concatenate([[0], np.cumsum(word)])
@@ -51,12 +51,12 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cols.append((t[ends] - t[starts]) / n)
     first, last = np.searchsorted(s, starts), np.searchsorted(s, ends)
     n_words = (last - first).astype(float)
-    h = spans(data, _R[0], s, e)
+    h = range_hashes(data, s, e, 1)[0]
     again = np.zeros(len(h) + 1)
     again[2:] = np.cumsum(h[1:] == h[:-1])
     cols.append((again[last] - again[np.minimum(first + 1, last)]) / n_words)
     cols += [np.log1p(n_words), n / n_words, np.isin(data[ends - 1], list(b".!?\"')"))]
-    line = spans(data, _R[1], starts, ends)
+    line = range_hashes(data, starts, ends, 1)[0]
     order = np.lexsort((np.arange(len(line)), line, doc))
     same = (line[order][1:] == line[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     seen = np.zeros(len(line))

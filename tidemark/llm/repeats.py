@@ -1,15 +1,25 @@
-"""Windows that also start in a document with a smaller id: the engine of both substring operators.
+"""Strings that also start in a document with a smaller id: the engine of both substring operators.
 
-Documents are dealt into pieces of a few MB of text. Three passes go over the pieces:
+Documents are dealt into pieces of a few MB of text. Passes go over the pieces, each answered by hash ranges (buckets):
 
-1. each piece sends a sketch of its windows' keys: sorted cells, by hash range (bucket); a bucket merges the sketches and
-   answers each piece with one bit for every cell it sent: whether another piece sent that cell too;
-2. windows whose cells are all repeated (or whose key two documents of the piece share) are sent by 128-bit name with the
-   smallest document of the piece; a bucket answers with the names for which another piece has a smaller document;
-3. each piece marks what is covered by windows whose smallest document is smaller than their own.
+1. *Sketch.* Each piece sends a count-min sketch of its keys: for each of ``depth`` rows the sorted cells and whether one or
+   more of its documents have a key there. A bucket adds the pieces' counters up and answers each cell with whether the
+   estimate is two documents or more. Estimates never fall short, so a key with an estimate of one has no repeat.
+2. *Names.* What is estimated repeated is sent by its exact name (96 or 128 bits), each name once a piece with the piece's
+   smallest document. A bucket sorts them and answers with one byte a name.
+3. *Extents*, for bytes only (see ``Bytes``).
 
-A window missing from pass 2 has a key that no other piece has, so nothing is lost. What a task holds is bounded by the size
-of pieces and buckets, whose numbers follow the input: copies of a window meet as one entry a piece, however many there are.
+The last pass marks what is covered and returns the rest. Nothing is lost: what a pass leaves out can't be covered.
+
+What a task holds is bounded by the size of pieces and buckets, whose numbers follow the input, and copies meet as one name
+a piece, however many there are; only a single document longer than a piece is a piece of its own size (some 100 bytes of
+memory a byte). Each piece sends a row to each bucket, so the number of rows, not their bytes, grows with the square of the
+input: 12 million at 30 GB.
+
+Defined cases: null and empty texts have no unit and stay as they are; texts shorter than a window are kept whole; a null id
+is larger than any, and null ids don't cover one another; rows of one id don't cover one another, whatever their texts;
+repeated rows are judged each; an empty table gives an empty result. Columns pass through under their own names, but
+``_units``, ``_removed``, ``_runs`` and ``_kept`` are replaced. Text is taken as UTF-8, what can't be encoded as ``?``.
 """
 
 from __future__ import annotations
@@ -22,70 +32,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_U = np.uint64
-_R = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
-_B = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_NULL = np.iinfo(np.int64).max
-_powers: dict = {}
-
-
-def _inverse(r: int) -> int:
-    return pow(int(r), -1, 1 << 64)
-
+from .hashing import U, mix, range_hashes, window_hashes, word_bounds
 
-def powers(r: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r^i and r^-i modulo 2^64 for i < n at least."""
-    if r not in _powers or len(_powers[r][0]) < n:
-        both = []
-        for x in (_U(r), _U(_inverse(r))):
-            p = np.full(n + n // 4 + 1, x)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=_U))
-        _powers[r] = tuple(both)
-    return _powers[r]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def spans(values: np.ndarray, r: np.uint64, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair."""
-    pow_, inv = powers(r, len(values) + 1)
-    total = np.zeros(len(values) + 1, _U)
-    np.cumsum(values.astype(_U) * pow_[: len(values)] + pow_[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inv[starts])
+_NULL = np.iinfo(np.int64).max
+#: Answers to a name: nothing, a smaller document has it, its extent is asked for.
+NONE, COVERED, ASKED = 0, 1, 2
 
 
 @dataclass
-class Found:
-    """The windows of a piece: their document (place in the piece), unit they start at, key and name."""
+class Items:
+    """What a piece asks about: document (place in the piece), key, and the units [begin, end) that it stands for."""
 
     doc: np.ndarray
-    start: np.ndarray
     key: np.ndarray
-    name: tuple[np.ndarray, np.ndarray]
+    begin: np.ndarray
+    end: np.ndarray
+    more: tuple = ()
 
 
 class Words:
-    """Windows of consecutive words; the key is the name's first half."""
+    """Windows of consecutive words, one item each. The key and 32 more bits are the name."""
+
+    extents = False
 
     def __init__(self, width: int) -> None:
         self.width = width
 
-    def find(self, texts: list[bytes]) -> Found:
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        edge = np.diff(np.concatenate([[0], (~_SPACE[data]).view(np.int8), [0]]))
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        doc = np.searchsorted(ends, s, "right")
-        i = np.flatnonzero(doc[: max(0, len(s) - self.width + 1)] == doc[self.width - 1 :]) if len(s) >= self.width else np.empty(0, np.int64)
-        name = tuple(spans(spans(data, r, s, e), b, i, i + self.width) for r, b in zip(_R, _B))
-        self.word_doc = doc
-        return Found(doc[i], i, name[0], name)
+    def find(self, texts: list[bytes]) -> Items:
+        data, s, e, doc = word_bounds(texts)
+        same = doc[: max(0, len(s) - self.width + 1)] == doc[self.width - 1 :] if len(s) >= self.width else np.zeros(0, bool)
+        i = np.flatnonzero(same)
+        first, second = range_hashes(data, s, e)
+        self.n_units = len(doc)
+        return Items(doc[i], window_hashes(first, self.width)[i], i, i + self.width, (window_hashes(second, self.width, 1)[i],))
+
+    def second(self, items: Items, use: np.ndarray) -> np.ndarray:
+        return items.more[0][use] >> U(32)
+
+    second_type = np.dtype("<u4")
+
+    def judge(self, key: np.ndarray, second: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """An answer to each name: whether a smaller document than its own has it."""
+        return np.where(_least((key, second), low) < low, COVERED, NONE).astype(np.uint8)
 
     def leave(self, texts: list[bytes], covered: np.ndarray) -> list[tuple]:
         """(units, removed, runs removed, text kept) of each document."""
@@ -95,43 +83,88 @@ class Words:
             c = covered[at : at + len(ws)]
             at += len(ws)
             n = int(c.sum())
-            out.append((len(ws), n, 0, b" ".join(compress(ws, ~c) if n else ws)))
+            runs = int((np.diff(np.concatenate([[0], c.view(np.int8)])) == 1).sum()) if n else 0
+            out.append((len(ws), n, runs, b" ".join(compress(ws, ~c) if n else ws)))
         return out
 
-    def units(self, texts: list[bytes]) -> int:
-        return len(self.word_doc)
-
 
 class Bytes:
-    """Windows of bytes. The key is the smallest hash among the window's strings of half its length: equal windows have equal
-    keys, and neighbouring windows mostly share one, so few keys stand for all windows. The name pairs the ranks of the two
-    halves, as doubling does."""
+    """Strings of ``width`` bytes, by prefix doubling over a sample of the suffixes.
 
-    def __init__(self, width: int) -> None:
-        self.width, self.half = width, width // 2
+    Each string elects one of its positions: the start of its smallest half-width string under a hash order (the first, if it
+    has several). Equal strings elect the same place, so only elected positions, about 2 of 27, take part. Their rank by half
+    a width is the key; equal ranks are sorted together. The next rank doubles the length on both sides: it names the whole
+    stretch of text whose strings elect the position, 50 to 75 bytes, as one. Where a smaller document has that stretch,
+    all its strings are repeats; where no smaller document has even the key, none is; both are done. What is left, at the
+    ends of repeats, is asked for its extent: the bytes about the key are sent, one of each stretch that differs, and ranked
+    for each place of the string in turn, which is past the threshold.
+    """
 
-    def find(self, texts: list[bytes]) -> Found:
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        n, h, w = len(data), self.half, self.width
-        ends = np.cumsum([len(t) for t in texts])
+    extents = True
+
+    def __init__(self, width: int) -> None:
+        self.width, self.half, self.gap = width, width // 2, width - width // 2
+
+    def find(self, texts: list[bytes]) -> Items:
+        n, w, h = sum(map(len, texts)), self.width, self.half
+        data = np.frombuffer(b"".join(texts) + bytes(w + 8), np.uint8)
+        self.data, self.n_units = data, n
+        lens = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(lens)
+        none = np.empty(0, np.int64)
         if n < w:
-            none = np.empty(0, np.int64)
-            return Found(none, none, none.astype(_U), (none.astype(_U), none.astype(_U)))
+            return Items(none, none.astype(U), none, none, (none,))
         at = np.arange(n - h + 1)
-        first = spans(data, _R[0], at, at + h)
-        low, size = first, 1
-        need = w - h + 1
+        rank = range_ranks(data, len(at), h)
+        low = (rank & U(0xFFFFFFFF00000000)) | at.astype(U)  # ordered by hash, then by place
+        size, need = 1, self.gap + 1
         while size * 2 <= need:
             low = np.minimum(low[:-size], low[size:])
             size *= 2
         low = np.minimum(low[: n - w + 1], low[need - size : need - size + n - w + 1])
-        lens = np.array([len(t) for t in texts])
-        doc = np.repeat(np.arange(len(texts)), np.maximum(0, lens))[: n - w + 1]
-        i = np.flatnonzero(np.arange(w, n + 1) <= ends[doc])
-        second = spans(data, _R[1], at, at + h)
-        rest = w - h
-        name = tuple(mix(x[i] * _B[k] + x[i + rest]) for k, x in enumerate((first, second)))
-        return Found(doc[i], i, low[i], name)
+        doc = np.repeat(np.arange(len(texts)), lens)[: n - w + 1]
+        p = np.flatnonzero(np.arange(w, n + 1) <= ends[doc])
+        if not len(p):
+            return Items(none, none.astype(U), none, none, (none,))
+        elected = (low[p] & U(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.diff(elected, prepend=-1))
+        last = np.append(first[1:], len(p)) - 1
+        a = elected[first]
+        return Items(doc[p[first]], rank[a], p[first], p[last] + w, (a,))
+
+    def second(self, items: Items, use: np.ndarray) -> np.ndarray:
+        """The rank of an item's whole stretch, with the place of the key in it."""
+        begin, end = items.begin[use], items.end[use]
+        return mix(range_hashes(self.data, begin, end, 1)[0] + (items.more[0][use] - begin).astype(U))
+
+    second_type = np.dtype("<u8")
+
+    def judge(self, key: np.ndarray, second: np.ndarray, low: np.ndarray) -> np.ndarray:
+        whole, half = _least((key, second), low), _least((key,), low)
+        open_ = (whole >= low) & (half < low)
+        asked = (_least((key,), np.where(open_, -1, 0)) < 0) & (whole >= low)
+        return np.where(whole < low, COVERED, np.where(asked, ASKED, NONE)).astype(np.uint8)
+
+    def spans(self, items: Items, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each item the bytes on both sides of its key that its strings reach, the first and the last place of the key
+        in them. Bytes beyond their reach are zero."""
+        a, g = items.more[0][use], self.gap
+        first, last = a - (items.end[use] - self.width), a - items.begin[use]
+        cols = np.concatenate([np.arange(-g, 0), self.half + np.arange(g)])
+        at = a[:, None] + cols
+        inside = (at >= items.begin[use][:, None]) & (at < items.end[use][:, None])
+        return np.where(inside, self.data[np.where(inside, at, 0)], 0).astype(np.uint8), first.astype(np.uint8), last.astype(np.uint8)
+
+    def extent(self, key: np.ndarray, low: np.ndarray, around: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each item a bit for each place of the key: whether a smaller document has the string with the key there."""
+        out = np.zeros(len(key), np.uint32)
+        for place in range(self.gap + 1):
+            i = np.flatnonzero((first <= place) & (place <= last))
+            if len(i):
+                rest = np.ascontiguousarray(around[i, self.gap - place : 2 * self.gap - place])
+                name = range_hashes(rest.ravel(), np.arange(len(i)) * self.gap, np.arange(1, len(i) + 1) * self.gap, 1)[0]
+                out[i] |= (_least((key[i], name), low[i]) < low[i]).astype(np.uint32) << np.uint32(place)
+        return out
 
     def leave(self, texts: list[bytes], covered: np.ndarray) -> list[tuple]:
         out, at = [], 0
@@ -143,171 +176,266 @@ class Bytes:
             out.append((len(t), n, runs, np.frombuffer(t, np.uint8)[~c].tobytes() if n else t))
         return out
 
-    def units(self, texts: list[bytes]) -> int:
-        return sum(map(len, texts))
-
-
-def _rows(table: pa.Table, keep: list[str]) -> tuple[np.ndarray, list[bytes], pa.Table]:
-    """Ids (null: larger than any), texts and kept columns in an order that the rows alone decide."""
-    ids = table.column("_id").to_pylist()
-    texts = [(t or "").encode("utf-8", "replace") for t in table.column("_text").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (_NULL if ids[i] is None else ids[i], texts[i]))
-    table = table.take(pa.array(order, pa.int64()))
-    return np.array([_NULL if ids[i] is None else ids[i] for i in order], np.int64), [texts[i] for i in order], table.select(keep)
 
+def range_ranks(data: np.ndarray, n: int, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes at each of the first n places; ``data`` has eight bytes more."""
+    blocks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = np.full(n, U(0x9E3779B97F4A7C15))
+    for at in range(0, length, 8):
+        x = blocks[at : at + n]
+        if length - at < 8:
+            x = x & U((1 << 8 * (length - at)) - 1)
+        out ^= x
+        out *= U(0xA0761D6478BD642F)
+        out ^= out >> U(29)
+    out *= U(0x94D049BB133111EB)
+    out ^= out >> U(31)
+    return out
+
+
+def _least(names: tuple[np.ndarray, ...], low: np.ndarray) -> np.ndarray:
+    """For each row the smallest ``low`` among the rows of its name."""
+    if not len(low):
+        return low
+    order = np.lexsort(names[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in names])
+    out = np.empty(len(low), low.dtype)
+    out[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
 
-def _lows(names: tuple, ids: np.ndarray) -> tuple:
-    """Distinct names in order, the place of each window's name among them, smallest and largest id of each."""
-    order = np.lexsort((names[1], names[0]))
-    a, b = names[0][order], names[1][order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    place = np.empty(len(a), np.int64)
-    place[order] = np.cumsum(new) - 1
-    if not len(a):
-        return a, b, place, ids[:0], ids[:0]
-    return a[at], b[at], place, np.minimum.reduceat(ids[order], at), np.maximum.reduceat(ids[order], at)
 
-
-def _cells(keys: np.ndarray, row: int, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and cell of each key in one row of the sketch; the bucket is the same in all rows."""
-    bucket = ((keys >> _U(32)) * _U(buckets)) >> _U(32)
-    return bucket.astype(np.int64), (mix(keys + _U(row + 1) * _R[0]) >> _U(64 - bits)).astype(np.int64)
+def _pack(cells: np.ndarray) -> bytes:
+    """Sorted distinct cells: the low byte of each step, and the rest of the steps in unary bits."""
+    steps = np.diff(cells, prepend=0)
+    stops = np.cumsum((steps >> 8) + 1)
+    bits = np.zeros(int(stops[-1]) if len(stops) else 0, bool)
+    bits[stops - 1] = True
+    return np.int64(len(cells)).tobytes() + (steps & 255).astype(np.uint8).tobytes() + np.packbits(bits).tobytes()
 
 
-def _words64(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, _U)
+def _unpack(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    stops = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=8 + n)))
+    high = np.diff(stops, prepend=-1) - 1
+    return np.cumsum((high << 8) | np.frombuffer(blob, np.uint8, n, 8))
 
 
 def _ids_in(ids: np.ndarray) -> bytes:
     """Ids as the distinct ones and small places among them."""
     own, place = np.unique(ids, return_inverse=True)
-    return np.int64(len(own)).tobytes() + own.tobytes() + place.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes()
+    return np.int64(len(own)).tobytes() + own.tobytes() + place.astype(_place_type(len(own))).tobytes()
 
 
 def _ids_out(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
-    return np.frombuffer(blob, np.int64, n, 8)[np.frombuffer(blob, np.uint16 if n <= 1 << 16 else np.uint32, offset=8 + 8 * n)]
-
-
-def _pack(cells: np.ndarray) -> bytes:
-    """Sorted cells as byte steps; 255 carries on."""
-    steps = np.diff(cells, prepend=0)
-    more = steps // 255
-    out = np.full(len(steps) + int(more.sum()), 255, np.uint8)
-    out[np.cumsum(more + 1) - 1] = steps % 255
-    return out.tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    steps = np.frombuffer(blob, np.uint8)
-    return np.cumsum(steps.astype(np.int64))[steps != 255]
-
-
-def _sketch(keys: np.ndarray, depth: int, buckets: int, bits: int):
-    """For each row and bucket with keys: the sorted distinct cells; and for each row each key's place among all of them."""
-    for row in range(depth):
-        bucket, cell = _cells(keys, row, buckets, bits)
-        flat, place = np.unique((bucket << bits) | cell, return_inverse=True)
-        cut = np.searchsorted(flat >> bits, np.arange(buckets + 1))
-        yield row, flat & ((1 << bits) - 1), cut, place
+    return np.frombuffer(blob, np.int64, n, 8)[np.frombuffer(blob, _place_type(n), offset=8 + 8 * n)]
+
+
+def _place_type(n: int) -> type:
+    return np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _buckets(keys: np.ndarray, n: int) -> np.ndarray:
+    return (((keys >> U(32)) * U(n)) >> U(32)).astype(np.int64)
+
+
+_ASK = "bucket int, layer int, piece int, x binary, y binary, z binary"
+_ANSWER = "piece int, step int, bucket int, layer int, x binary"
+
+
+def _frame(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({n: pa.array([r[i] for r in rows], kinds[t]) for i, (n, t) in enumerate(fields)})
+
+
+class _Piece:
+    """One piece's state, worked out anew in each pass from its rows and the answers so far."""
+
+    def __init__(self, kind, table: pa.Table, depth: int, buckets: int, bits: int) -> None:
+        ids = table.column("id").to_pylist()
+        texts = [(t or "").encode("utf-8", "replace") for t in table.column("t").to_pylist()]
+        order = sorted(range(len(ids)), key=lambda i: (_NULL if ids[i] is None else ids[i], texts[i]))
+        self.kind, self.depth, self.buckets, self.bits = kind, depth, buckets, bits
+        self.kept = table.column("kept").take(pa.array(order, pa.int64()))
+        self.ids = np.array([_NULL if ids[i] is None else ids[i] for i in order], np.int64)
+        self.texts = [texts[i] for i in order]
+        self.number = table.column("piece")[0].as_py() if len(ids) else -1
+        self.items = kind.find(self.texts)
+        self.mine = self.ids[self.items.doc]
+        order = np.argsort(self.items.key, kind="stable")
+        key, mine = self.items.key[order], self.mine[order]
+        new = np.diff(key, prepend=~key[:1]) != 0 if len(key) else np.zeros(0, bool)
+        self.place = np.empty(len(key), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        self.keys = key[at]
+        self.many = np.minimum.reduceat(mine, at) < np.maximum.reduceat(mine, at) if len(at) else np.zeros(0, bool)
+
+    def cells(self):
+        """For each layer: the bucket and cell of every key's counter, as one number, and the keys in the order of these."""
+        bucket = _buckets(self.keys, self.buckets) << self.bits
+        for layer in range(self.depth):
+            flat = bucket | (mix(self.keys + U(layer + 1)) >> U(64 - self.bits)).astype(np.int64)
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            new = np.diff(flat, prepend=-1) != 0
+            cut = np.searchsorted(flat[new] >> self.bits, np.arange(self.buckets + 1))
+            yield layer, order, new, flat[new] & ((1 << self.bits) - 1), cut
+
+    def sketch(self) -> list[tuple]:
+        out = []
+        for layer, order, new, cell, cut in self.cells():
+            n = np.add.reduceat(1 + self.many[order], np.flatnonzero(new)) if len(order) else order
+            for b in range(self.buckets):
+                x, y = cut[b], cut[b + 1]
+                if x < y:
+                    out.append((b, layer, self.number, _pack(cell[x:y]), np.packbits(n[x:y] > 1).tobytes(), None))
+        return out
 
+    def names(self, answers: dict) -> None:
+        """The distinct names of what the sketch estimates repeated, in order, with the smallest document of each."""
+        repeated = np.ones(len(self.keys), bool)
+        for layer, order, new, cell, cut in self.cells():
+            flags = np.zeros(len(cell), bool)
+            for b in range(self.buckets):
+                x, y = cut[b], cut[b + 1]
+                if x < y:
+                    flags[x:y] = np.unpackbits(np.frombuffer(answers[0, b, layer], np.uint8), count=int(y - x))
+            repeated[order] &= flags[np.cumsum(new) - 1]
+        self.use = np.flatnonzero(repeated[self.place])
+        key, second = self.items.key[self.use], self.kind.second(self.items, self.use)
+        order = np.lexsort((second, key))
+        key, second, mine = key[order], second[order], self.mine[self.use][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
+        at = np.flatnonzero(new)
+        self.name_of = np.empty(len(order), np.int64)
+        self.name_of[order] = np.cumsum(new) - 1
+        self.key, self.second, self.sample = key[at], second[at], self.use[order[at]]
+        self.low = np.minimum.reduceat(mine, at) if len(at) else mine
+        self.cut = np.searchsorted(_buckets(self.key, self.buckets), np.arange(self.buckets + 1))
+
+    def ask_names(self) -> list[tuple]:
+        cuts = [(b, x, y) for b, (x, y) in enumerate(zip(self.cut[:-1], self.cut[1:])) if x < y]
+        second = self.second.astype(self.kind.second_type)
+        return [(b, 0, self.number, self.key[x:y].tobytes(), second[x:y].tobytes(), _ids_in(self.low[x:y])) for b, x, y in cuts]
+
+    def judged(self, answers: dict) -> None:
+        parts = [answers[1, b, 0] for b in range(self.buckets) if self.cut[b] < self.cut[b + 1]]
+        self.code = np.frombuffer(b"".join(parts), np.uint8)
+
+    def ask_extents(self) -> list[tuple]:
+        out = []
+        for b in range(self.buckets):
+            i = self.cut[b] + np.flatnonzero(self.code[self.cut[b] : self.cut[b + 1]] == ASKED)
+            if len(i):
+                around, first, last = self.kind.spans(self.items, self.sample[i])
+                out.append((b, 0, self.number, self.key[i].tobytes() + first.tobytes() + last.tobytes(), around.tobytes(), _ids_in(self.low[i])))
+        return out
 
-def covered_text(docs: DataFrame, kind, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, depth: int = 1, bits: int = 24, piece_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+    def finish(self, answers: dict) -> pa.Table:
+        name, doc = self.name_of, self.mine[self.use]
+        whole = (self.code[name] == COVERED) | (doc > self.low[name])
+        cover = np.zeros(self.kind.n_units + 1, np.int32)
+        at = self.use[whole]
+        np.add.at(cover, self.items.begin[at], 1)
+        np.add.at(cover, self.items.end[at], -1)
+        if self.kind.extents:
+            bits = np.zeros(len(self.key), np.uint32)
+            asked = np.flatnonzero(self.code == ASKED)
+            found = [answers[2, b, 0] for b in range(self.buckets) if (self.code[self.cut[b] : self.cut[b + 1]] == ASKED).any()]
+            bits[asked] = np.frombuffer(b"".join(found), np.uint32)
+            rest = np.flatnonzero(~whole & (bits[name] > 0))
+            for place in range(self.kind.gap + 1):
+                i = rest[(bits[name[rest]] >> np.uint32(place)) & 1 == 1]
+                start = self.items.more[0][self.use[i]] - place
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + self.kind.width, -1)
+        left = self.kind.leave(self.texts, np.cumsum(cover[:-1]) > 0)
+        kinds = (("units", pa.int64()), ("removed", pa.int64()), ("runs", pa.int64()), ("rest", pa.binary()))
+        return pa.table({"kept": self.kept} | {c: pa.array([x[i] for x in left], t) for i, (c, t) in enumerate(kinds)})
+
+
+def _answers(table: pa.Table) -> dict:
+    cols = (table.column(c).to_pylist() for c in ("step", "bucket", "layer", "x"))
+    return {(s, b, k): x for s, b, k, x in zip(*cols)}
+
+
+def covered_text(docs: DataFrame, kind, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, depth: int = 2, bits: int = 23, piece_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``keep`` columns of each row with ``_units``, ``_removed``, ``_runs``, ``_kept`` (binary)."""
     keep = keep or [key]
     total = docs.select(F.sum(F.octet_length(text) + 1).alias("b")).first()["b"] or 1
     n_pieces, n_buckets = max(1, -(-total // piece_bytes)), max(16, -(-total // bucket_bytes))
-    rows = docs.select(*(F.col(c) for c in keep), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = rows.withColumn("_piece", F.pmod(F.xxhash64("_id", "_text"), F.lit(n_pieces)).cast("int")).repartition(max(1, n_pieces), "_piece")
+    n_parts = n_pieces if n_pieces <= 20_000 else max(20_000, n_pieces // 64)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    rows = rows.withColumn("piece", F.pmod(F.xxhash64("id", "t"), F.lit(n_pieces)).cast("int")).repartition(n_parts, "piece")
+
+    def piece(table: pa.Table) -> _Piece:
+        return _Piece(kind, table, depth, n_buckets, bits)
 
     def sketch(table: pa.Table) -> pa.Table:
-        ids, texts, _ = _rows(table, [])
-        keys, piece, out = np.unique(kind.find(texts).key), table.column("_piece")[0].as_py(), []
-        for row, cells, cut, _ in _sketch(keys, depth, n_buckets, bits):
-            out += [(b, piece, row, _pack(cells[cut[b] : cut[b + 1]])) for b in range(n_buckets) if cut[b] < cut[b + 1]]
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("_bucket", pa.int32()), ("_piece", pa.int32()), ("_row", pa.int32()), ("_cells", pa.binary())))})
+        return _frame(piece(table).sketch(), _ASK)
 
     def merge(table: pa.Table) -> pa.Table:
-        row, blobs = table.column("_row").to_pylist(), table.column("_cells").to_pylist()
-        hit: list = [None] * len(blobs)
-        for r in set(row):
-            own = [i for i in range(len(blobs)) if row[i] == r]
-            once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
-            for i in own:
-                c = _unpack(blobs[i])
-                twice[c[once[c]]] = True
-                once[c] = True
-            for i in own:
-                hit[i] = np.packbits(twice[_unpack(blobs[i])]).tobytes()
-        return pa.table({"_piece": table.column("_piece"), "_bucket": table.column("_bucket"), "_row": table.column("_row"), "_hit": pa.array(hit, pa.binary())})
-
-    def names(table: pa.Table, hits: pa.Table) -> pa.Table:
-        out = []
-        if table.num_rows:
-            ids, texts, _ = _rows(table, [])
-            found = kind.find(texts)
-            keys, place = np.unique(found.key, return_inverse=True)
-            mine = ids[found.doc]
-            low, high = np.full(len(keys), _NULL), np.full(len(keys), np.iinfo(np.int64).min)
-            np.minimum.at(low, place, mine)
-            np.maximum.at(high, place, mine)
-            bits_of = {(r, b): h for r, b, h in zip(hits.column("_row").to_pylist(), hits.column("_bucket").to_pylist(), hits.column("_hit").to_pylist())}
-            repeated = np.ones(len(keys), bool)
-            for row, cells, cut, where in _sketch(keys, depth, n_buckets, bits):
-                flags = np.zeros(len(cells), bool)
-                for b in range(n_buckets):
-                    if cut[b] < cut[b + 1]:
-                        flags[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits_of[row, b], np.uint8), count=int(cut[b + 1] - cut[b])).astype(bool)
-                repeated &= flags[where]
-            use = repeated[place]
-            a, b, _, lows, _ = _lows((found.name[0][use], found.name[1][use]), mine[use])
-            piece = table.column("_piece")[0].as_py()
-            bucket = (((a >> _U(32)) * _U(n_buckets)) >> _U(32)).astype(np.int64)
-            cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            out = [(k, piece, a[x:y].tobytes(), b[x:y].tobytes(), _ids_in(lows[x:y])) for k, x, y in zip(range(n_buckets), cut[:-1], cut[1:]) if x < y]
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("_bucket", pa.int32()), ("_piece", pa.int32()), ("_a", pa.binary()), ("_b", pa.binary()), ("_low", pa.binary())))})
-
-    def smaller(table: pa.Table) -> pa.Table:
-        parts = [[f(x) for x in table.column(c).to_pylist()] for c, f in (("_a", _words64), ("_b", _words64), ("_low", _ids_out))]
-        a, b, place, lows, _ = _lows((np.concatenate(parts[0]), np.concatenate(parts[1])), np.concatenate(parts[2]))
-        out, at = [], 0
-        for piece, own in zip(table.column("_piece").to_pylist(), parts[2]):
-            p = place[at : at + len(own)]
-            at += len(own)
-            p = p[lows[p] < own]
-            if len(p):
-                out.append((piece, a[p].tobytes(), b[p].tobytes(), _ids_in(lows[p])))
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("_piece", pa.int32()), ("_a", pa.binary()), ("_b", pa.binary()), ("_low", pa.binary())))})
-
-    schema = docs.select(*keep).schema.add("_units", "long").add("_removed", "long").add("_runs", "long").add("_kept", "binary")
+        counters, out = np.zeros(1 << bits, np.uint32), []
+        cells = [_unpack(x) for x in table.column("x").to_pylist()]
+        for c, more in zip(cells, table.column("y").to_pylist()):
+            counters[c] += 1 + np.unpackbits(np.frombuffer(more, np.uint8), count=len(c)).astype(np.uint32)
+        for c, p in zip(cells, table.column("piece").to_pylist()):
+            out.append((p, 0, table.column("bucket")[0].as_py(), table.column("layer")[0].as_py(), np.packbits(counters[c] > 1).tobytes()))
+        return _frame(out, _ANSWER)
+
+    def names(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _frame([], _ASK)
+        p = piece(table)
+        p.names(_answers(answers))
+        return _frame(p.ask_names(), _ASK)
+
+    def judge(table: pa.Table) -> pa.Table:
+        xs, ys, lows = (table.column(c).to_pylist() for c in ("x", "y", "z"))
+        lows = [_ids_out(x) for x in lows]
+        code = kind.judge(np.frombuffer(b"".join(xs), U), np.frombuffer(b"".join(ys), kind.second_type), np.concatenate(lows))
+        cut = np.cumsum([0, *map(len, lows)])
+        b = table.column("bucket")[0].as_py()
+        return _frame([(p, 1, b, 0, code[x:y].tobytes()) for p, x, y in zip(table.column("piece").to_pylist(), cut[:-1], cut[1:])], _ANSWER)
+
+    def extents(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _frame([], _ASK)
+        p, known = piece(table), _answers(answers)
+        p.names(known)
+        p.judged(known)
+        return _frame(p.ask_extents(), _ASK)
+
+    def extent(table: pa.Table) -> pa.Table:
+        lows = [_ids_out(x) for x in table.column("z").to_pylist()]
+        heads = table.column("x").to_pylist()
+        at = [len(x) for x in lows]
+        around = np.frombuffer(b"".join(table.column("y").to_pylist()), np.uint8).reshape(-1, 2 * kind.gap)
+        key, first, last = (np.concatenate([np.frombuffer(h, t, n, o * n) for h, n in zip(heads, at)]) for t, o in ((U, 0), (np.uint8, 8), (np.uint8, 9)))
+        bits_ = kind.extent(key, np.concatenate(lows), around, first, last)
+        cut, b = np.cumsum([0, *at]), table.column("bucket")[0].as_py()
+        return _frame([(p, 2, b, 0, bits_[x:y].tobytes()) for p, x, y in zip(table.column("piece").to_pylist(), cut[:-1], cut[1:])], _ANSWER)
+
+    schema = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")).schema
+    schema = schema.add("units", "long").add("removed", "long").add("runs", "long").add("rest", "binary")
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts, kept = _rows(table, keep)
-        found = kind.find(texts)
-        mine = ids[found.doc]
-        a, b, place, lows, _ = _lows(found.name, mine)
-        if answers.num_rows:
-            x, y, low = (np.concatenate([f(v) for v in answers.column(c).to_pylist()]) for c, f in (("_a", _words64), ("_b", _words64), ("_low", _ids_out)))
-            p = np.searchsorted(a, x)
-            while (go := (a[np.minimum(p, len(a) - 1)] == x) & (b[np.minimum(p, len(a) - 1)] < y)).any():
-                p = p + go  # names that share their first half: step to the one that is meant
-            np.minimum.at(lows, p, low)
-        start = found.start[lows[place] < mine]
-        n = kind.units(texts)
-        cover = np.zeros(n + 1, np.int32)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + kind.width, -1)
-        left = kind.leave(texts, np.cumsum(cover[:-1]) > 0)
-        extra = {c: pa.array([x[i] for x in left], t) for i, (c, t) in enumerate((("_units", pa.int64()), ("_removed", pa.int64()), ("_runs", pa.int64()), ("_kept", pa.binary())))}
-        for c, v in extra.items():
-            kept = kept.append_column(c, v)
-        return kept
-
-    sketches = rows.groupBy("_piece").applyInArrow(sketch, "_bucket int, _piece int, _row int, _cells binary")
-    hits = sketches.groupBy("_bucket").applyInArrow(merge, "_piece int, _bucket int, _row int, _hit binary")
-    named = rows.groupBy("_piece").cogroup(hits.groupBy("_piece")).applyInArrow(names, "_bucket int, _piece int, _a binary, _b binary, _low binary")
-    answers = named.groupBy("_bucket").applyInArrow(smaller, "_piece int, _a binary, _b binary, _low binary")
-    return rows.groupBy("_piece").cogroup(answers.groupBy("_piece")).applyInArrow(finish, schema)
-
+        p, known = piece(table), _answers(answers)
+        p.names(known)
+        p.judged(known)
+        return p.finish(known)
+
+    own = rows.groupBy("piece")
+    answers = own.applyInArrow(sketch, _ASK).groupBy("bucket", "layer").applyInArrow(merge, _ANSWER)
+    asked = own.cogroup(answers.groupBy("piece")).applyInArrow(names, _ASK)
+    answers = answers.union(asked.groupBy("bucket").applyInArrow(judge, _ANSWER))
+    if kind.extents:
+        asked = own.cogroup(answers.groupBy("piece")).applyInArrow(extents, _ASK)
+        answers = answers.union(asked.groupBy("bucket").applyInArrow(extent, _ANSWER))
+    found = own.cogroup(answers.groupBy("piece")).applyInArrow(finish, schema)
+    names_ = {"_units": "units", "_removed": "removed", "_runs": "runs", "_kept": "rest"}
+    return found.select(*(F.col(f"kept.`{c}`") for c in keep if c not in names_), *(F.col(v).alias(k) for k, v in names_.items()))
