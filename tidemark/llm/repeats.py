@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .hashing import U, mix, range_hashes, window_hashes, word_bounds
 
 _NULL = np.iinfo(np.int64).max
+_RUN = 1 << 15
 #: Answers to a name: nothing, a smaller document has it, its extent is asked for.
 NONE, COVERED, ASKED = 0, 1, 2
 
@@ -114,23 +115,30 @@ class Bytes:
         none = np.empty(0, np.int64)
         if n < w:
             return Items(none, none.astype(U), none, none, (none,))
-        at = np.arange(n - h + 1)
-        rank = range_ranks(data, len(at), h)
-        low = (rank & U(0xFFFFFFFF00000000)) | at.astype(U)  # ordered by hash, then by place
-        size, need = 1, self.gap + 1
-        while size * 2 <= need:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        low = np.minimum(low[: n - w + 1], low[need - size : need - size + n - w + 1])
-        doc = np.repeat(np.arange(len(texts)), lens)[: n - w + 1]
-        p = np.flatnonzero(np.arange(w, n + 1) <= ends[doc])
-        if not len(p):
-            return Items(none, none.astype(U), none, none, (none,))
-        elected = (low[p] & U(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.diff(elected, prepend=-1))
-        last = np.append(first[1:], len(p)) - 1
-        a = elected[first]
-        return Items(doc[p[first]], rank[a], p[first], p[last] + w, (a,))
+        blocks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        elected = np.empty(n - w + 1, np.uint32)  # a place for each string
+        for i in range(0, len(elected), _RUN):  # runs that fit in a core's cache
+            m = min(_RUN, len(elected) - i)
+            low = ranks(lambda at: blocks[i + at : i + at + m + self.gap], h)
+            low &= U(0xFFFFFFFF00000000)  # ordered by hash, then by place
+            low |= np.arange(i, i + len(low), dtype=np.uint32)
+            size, need = 1, self.gap + 1
+            while size * 2 <= need:
+                low = np.minimum(low[:-size], low[size:])
+                size *= 2
+            elected[i : i + m] = np.minimum(low[:m], low[need - size : need - size + m])  # keeps the lower half
+        valid = np.zeros(n - w + 2, np.int32)  # strings that lie in one text; one more place that is none
+        whole = lens >= w
+        np.add.at(valid, (ends - lens)[whole], 1)
+        np.add.at(valid, (ends - w + 1)[whole], -1)
+        valid = np.cumsum(valid, dtype=np.int32) > 0
+        change = np.ones(len(elected), bool)
+        change[1:] = (elected[1:] != elected[:-1]) | ~valid[: len(elected) - 1]
+        first = np.flatnonzero(change & valid[:-1])
+        stop = np.append(change[1:], True) | ~valid[1:]
+        last = np.flatnonzero(stop & valid[:-1])
+        a = elected[first].astype(np.int64)
+        return Items(np.searchsorted(ends, first, "right"), ranks(lambda at: blocks[a + at], h), first, last + w, (a,))
 
     def second(self, items: Items, use: np.ndarray) -> np.ndarray:
         """The rank of an item's whole stretch, with the place of the key in it."""
@@ -177,15 +185,14 @@ class Bytes:
         return out
 
 
-def range_ranks(data: np.ndarray, n: int, length: int) -> np.ndarray:
-    """A hash of the ``length`` bytes at each of the first n places; ``data`` has eight bytes more."""
-    blocks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    out = np.full(n, U(0x9E3779B97F4A7C15))
+def ranks(block, length: int) -> np.ndarray:
+    """A hash of ``length`` bytes at several places; block(k) has the eight bytes from each place's k-th on."""
+    out = None
     for at in range(0, length, 8):
-        x = blocks[at : at + n]
+        x = block(at)
         if length - at < 8:
             x = x & U((1 << 8 * (length - at)) - 1)
-        out ^= x
+        out = x ^ U(0x9E3779B97F4A7C15) if out is None else np.bitwise_xor(out, x, out=out)
         out *= U(0xA0761D6478BD642F)
         out ^= out >> U(29)
     out *= U(0x94D049BB133111EB)
@@ -353,7 +360,7 @@ class _Piece:
                 start = self.items.more[0][self.use[i]] - place
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + self.kind.width, -1)
-        left = self.kind.leave(self.texts, np.cumsum(cover[:-1]) > 0)
+        left = self.kind.leave(self.texts, np.cumsum(cover[:-1], dtype=np.int32) > 0)
         kinds = (("units", pa.int64()), ("removed", pa.int64()), ("runs", pa.int64()), ("rest", pa.binary()))
         return pa.table({"kept": self.kept} | {c: pa.array([x[i] for x in left], t) for i, (c, t) in enumerate(kinds)})
 
