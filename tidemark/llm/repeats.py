@@ -48,6 +48,8 @@ class Items:
     key: np.ndarray
     begin: np.ndarray
     end: np.ndarray
+    n_units: int
+    #: Of words the second half of each name; of bytes the place of each key, and the data.
     more: tuple = ()
 
 
@@ -64,8 +66,7 @@ class Words:
         same = doc[: max(0, len(s) - self.width + 1)] == doc[self.width - 1 :] if len(s) >= self.width else np.zeros(0, bool)
         i = np.flatnonzero(same)
         first, second = range_hashes(data, s, e)
-        self.n_units = len(doc)
-        return Items(doc[i], window_hashes(first, self.width)[i], i, i + self.width, (window_hashes(second, self.width, 1)[i],))
+        return Items(doc[i], window_hashes(first, self.width)[i], i, i + self.width, len(doc), (window_hashes(second, self.width, 1)[i],))
 
     def second(self, items: Items, use: np.ndarray) -> np.ndarray:
         return items.more[0][use] >> U(32)
@@ -109,12 +110,11 @@ class Bytes:
     def find(self, texts: list[bytes]) -> Items:
         n, w, h = sum(map(len, texts)), self.width, self.half
         data = np.frombuffer(b"".join(texts) + bytes(w + 8), np.uint8)
-        self.data, self.n_units = data, n
         lens = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lens)
         none = np.empty(0, np.int64)
         if n < w:
-            return Items(none, none.astype(U), none, none, (none,))
+            return Items(none, none.astype(U), none, none, n, (none, data))
         blocks = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
         elected = np.empty(n - w + 1, np.uint32)  # a place for each string
         for i in range(0, len(elected), _RUN):  # runs that fit in a core's cache
@@ -138,12 +138,13 @@ class Bytes:
         stop = np.append(change[1:], True) | ~valid[1:]
         last = np.flatnonzero(stop & valid[:-1])
         a = elected[first].astype(np.int64)
-        return Items(np.searchsorted(ends, first, "right"), ranks(lambda at: blocks[a + at], h), first, last + w, (a,))
+        # mixed once more: the smallest of many hashes are small, and would all fall into the first buckets
+        return Items(np.searchsorted(ends, first, "right"), mix(ranks(lambda at: blocks[a + at], h)), first, last + w, n, (a, data))
 
     def second(self, items: Items, use: np.ndarray) -> np.ndarray:
         """The rank of an item's whole stretch, with the place of the key in it."""
         begin, end = items.begin[use], items.end[use]
-        return mix(range_hashes(self.data, begin, end, 1)[0] + (items.more[0][use] - begin).astype(U))
+        return mix(range_hashes(items.more[1], begin, end, 1)[0] + (items.more[0][use] - begin).astype(U))
 
     second_type = np.dtype("<u8")
 
@@ -161,7 +162,7 @@ class Bytes:
         cols = np.concatenate([np.arange(-g, 0), self.half + np.arange(g)])
         at = a[:, None] + cols
         inside = (at >= items.begin[use][:, None]) & (at < items.end[use][:, None])
-        return np.where(inside, self.data[np.where(inside, at, 0)], 0).astype(np.uint8), first.astype(np.uint8), last.astype(np.uint8)
+        return np.where(inside, items.more[1][np.where(inside, at, 0)], 0).astype(np.uint8), first.astype(np.uint8), last.astype(np.uint8)
 
     def extent(self, key: np.ndarray, low: np.ndarray, around: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """For each item a bit for each place of the key: whether a smaller document has the string with the key there."""
@@ -258,7 +259,8 @@ def _frame(rows: list[tuple], schema: str) -> pa.Table:
 
 
 class _Piece:
-    """One piece's state, worked out anew in each pass from its rows and the answers so far."""
+    """One piece's state, worked out anew in each pass from its rows and the answers so far. ``kind`` holds none of it: a
+    worker may keep what a function refers to beyond the task."""
 
     def __init__(self, kind, table: pa.Table, depth: int, buckets: int, bits: int) -> None:
         ids = table.column("id").to_pylist()
@@ -345,7 +347,7 @@ class _Piece:
     def finish(self, answers: dict) -> pa.Table:
         name, doc = self.name_of, self.mine[self.use]
         whole = (self.code[name] == COVERED) | (doc > self.low[name])
-        cover = np.zeros(self.kind.n_units + 1, np.int32)
+        cover = np.zeros(self.items.n_units + 1, np.int32)
         at = self.use[whole]
         np.add.at(cover, self.items.begin[at], 1)
         np.add.at(cover, self.items.end[at], -1)
