@@ -3,11 +3,13 @@
 Every line is good or bad. Unary scores are linear in a line's own features and those of the lines before and after it;
 transitions tie neighbouring labels. Forward-backward gives each line's probability of being good, and a document's score is
 the mean of these, weighted by the lines' bytes. Lines are learned from documents' labels, on at most ``per_label`` documents
-of each label (those with the smallest hash of the id), which bounds what reaches the driver.
+of each label (those with the smallest hash of id and text) and no more than reach ``label_bytes`` of text, which bounds what
+reaches the driver.
 
 Defined cases: null and empty texts, and texts without a line that has a word, score the learned share of good lines; with
-nothing to learn from all rows score 0.5; documents with several labels count with the smallest; repeated rows are scored
-each; an empty table gives an empty result; only the named columns are read.
+nothing to learn from all rows score 0.5; documents with several labels count with the smallest; repeated rows teach once and
+are scored each; a null id or label teaches nothing; an empty table gives an empty result; other columns pass through,
+``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import SPACE, range_hashes
+from .language import sampled
+from .scratch import mapped
 
 _RUN = 1 << 20
 _CLASSES = [np.isin(np.arange(256), list(chars)) for chars in (b"#*$%&<>", b"|", b"!", b"0123456789", b".,;:?", bytes(range(65, 91)), bytes(range(97, 123)), b"/@=_{}[]()", bytes(range(128, 256)))]
@@ -141,32 +145,31 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 150, rate: float = 0
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 600, key: str = "doc_id", text: str = "text", label: str = "quality") -> Crf | None:
-    marks = labels.where(usable & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
-    first = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    marks = {r["k"]: r["y"] for r in marks.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_label).collect()}
-    if not marks:
-        return None
-    rows = docs.where(F.col(key).isin(list(marks)) & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).orderBy("k", "t").limit(2 * per_label).collect()
-    texts = [(r["t"].encode("utf-8", "replace"), marks[r["k"]]) for r in rows if r["t"].strip()]
+def train(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 600, label_bytes: int = 8 << 20, key: str = "doc_id", text: str = "text", label: str = "quality") -> Crf | None:
+    marks = labels.where(usable & F.col(label).isin(0, 1)).groupBy(F.col(key).cast("string").alias("k")).agg(F.min(label).alias("y"))
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(r"t rlike '[^ \\t\\n\\x0b\\f\\r]'")
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    known = rows.groupBy("k", "h").agg(F.max(F.octet_length("t")).alias("size")).join(marks, "k")
+    chosen = sampled(known, "y", per_label, label_bytes)  # rows: 2 x per_label
+    found = rows.join(F.broadcast(chosen), ["k", "h"]).dropDuplicates(["k", "h"]).select("k", "h", "t", "y").collect()
+    texts = [(r["t"].encode("utf-8", "replace"), r["y"]) for r in sorted(found, key=lambda r: (r["k"], r["h"]))]
     return fit([t for t, _ in texts], [y for _, y in texts]) if texts else None
 
 
 def scored(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
     """The input with ``score``."""
-    sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             out, held, size = [], [], 0
-            column = batch.column(names.index(text))
-            for i, t in enumerate(column):
+            for i, t in enumerate(batch.column(1)):
                 held.append((t.as_py() or "").encode("utf-8", "replace"))
                 size += len(held[-1])
                 if size >= _RUN or i == batch.num_rows - 1:
                     out += ([0.5] * len(held)) if model is None else model.score(held).tolist()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["kept", "new_score"])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(None).cast("double")).schema)
+    return mapped(docs, text, run, {"score": "double"})

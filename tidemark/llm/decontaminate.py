@@ -10,7 +10,8 @@ Test items go to the tasks in blocks of at most ``block_bytes`` of text, one pas
 broadcast is bounded however large the benchmark is.
 
 Defined cases: null and empty texts have no words and are never hit; items without words have no window; repeated items
-and rows count each by itself; an empty benchmark hits nothing; only the named columns are read, others pass through.
+and rows count each by itself; a null item id is named ``null``; an empty benchmark or table hits nothing; other columns pass
+through, those named ``_n``, ``_spans``, ``_items`` and ``_near`` are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b +
 RUN_BYTES = 4 << 20
 #: A proximity match may spread over so many words more than its window has; 0 leaves proximity out.
 SLOP = 3
+#: The columns that are added.
+FOUND = {"_n": "n", "_spans": "spans", "_items": "exact", "_near": "near"}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -119,40 +122,37 @@ def _answer(texts: list, terms: dict, windows: list, width: int, slop: int) -> l
 
 def find(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = SLOP, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` with ``_n`` (words), ``_spans`` (hit spans), ``_items`` (exact) and ``_near`` (item ids as strings)."""
-    found = items.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
+    found = items.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
     sized = found.select(F.sum(F.octet_length("t") + 64).alias("b")).first()["b"] or 0
     blocks = max(1, -(-int(sized) // block_bytes))
-    kept = [f.name for f in docs.schema]
-    docs = docs.withColumns({"_n": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<struct<a:int,b:int>>"), "_items": F.lit(None).cast("array<string>"), "_near": F.lit(None).cast("array<string>")})
-    schema = docs.schema
+    spans, names = "array<struct<a:int,b:int>>", [c for c in docs.columns if c not in FOUND]
+    empty = [F.lit(0).cast("long").alias("n"), F.array().cast(spans).alias("spans"), F.array().cast("array<string>").alias("exact"), F.array().cast("array<string>").alias("near")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("kept"), F.col(f"`{text}`").alias("t"), F.struct(*empty).alias("found"))
     for b in range(blocks):
-        rows = found.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
+        part = found.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         terms: dict[bytes, int] = {}
-        windows = list(dict.fromkeys((r["i"], tuple(terms.setdefault(w, len(terms)) for w in win)) for r in rows for win in windows_of(words(r["t"]), width)))
+        windows = list(dict.fromkeys((r["i"], tuple(terms.setdefault(w, len(terms)) for w in win)) for r in part for win in windows_of(words(r["t"]), width)))
         sent = docs.sparkSession.sparkContext.broadcast((terms, windows))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             terms, windows = sent.value
             for batch in batches:
-                texts, i = batch.column(kept.index(text)), 0
+                texts, was, i = batch.column(1), batch.column(2).to_pylist(), 0
                 while i < batch.num_rows:
-                    j, held, size = i, [], 0
-                    while j < batch.num_rows and (not held or size < RUN_BYTES):
-                        held.append(texts[j].as_py())
+                    first, held, size = i, [], 0
+                    while i < batch.num_rows and (not held or size < RUN_BYTES):
+                        held.append(texts[i].as_py())
                         size += len(held[-1] or "")
-                        j += 1
-                    got, part = _answer(held, terms, windows, width, slop), batch.slice(i, j - i)
-                    was = [part.column(len(kept) + k).to_pylist() for k in (1, 2, 3)]
-                    cols = [
-                        pa.array([g["n"] for g in got], pa.int64()),
-                        pa.array([[*(w or []), *({"a": a, "b": e} for a, e in g["spans"])] for g, w in zip(got, was[0])], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                        *(pa.array([sorted({*(w or []), *g[k]}) for g, w in zip(got, was[m])], pa.list_(pa.string())) for m, k in ((1, "exact"), (2, "near"))),
-                    ]
-                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(kept))), *cols], names=[*kept, "_n", "_spans", "_items", "_near"])
-                    i = j
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+                        i += 1
+                    out = []
+                    for g, w in zip(_answer(held, terms, windows, width, slop), was[first:i]):
+                        hit = [*w["spans"], *({"a": a, "b": e} for a, e in g["spans"])]
+                        out.append({"n": g["n"], "spans": hit, "exact": sorted({*w["exact"], *g["exact"]}), "near": sorted({*w["near"], *g["near"]})})
+                    part = batch.slice(first, i - first)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, batch.schema.field(2).type)], names=["kept", "t", "found"])
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select(*(F.col(f"kept.`{c}`") for c in names), *(F.col(f"found.{v}").alias(k) for k, v in FOUND.items()))
 
 
 def n_hit(spans: str = "_spans"):

@@ -3,14 +3,15 @@
 Each language has a tree of byte contexts of up to three bytes with frozen counts. A byte costs the code length that its
 context gives it with escape method C: count / (total + distinct), or an escape and the next shorter context, down to the
 uniform code over 256 bytes. The costs are worked out once for every context that some language has seen, so scoring is two
-table look-ups a byte and exact. The language with the shortest code wins; the score is its share among the codes' weights.
+table look-ups a byte and exact. The language with the shortest code wins; the score is its share among the languages' weights,
+which are 2 to the power of minus the bits a byte.
 
-Learning reads every language, at most ``per_language`` rows of each (those with the smallest hash of the id). Executors
-count the grams of a language; the driver gets the counts. The costs take (contexts x bytes seen x languages) floats.
+Learning reads every language, at most ``per_language`` different rows of each (those with the smallest hash of id and text)
+and no more than reach ``language_bytes``. Executors count the grams of a language; the driver gets the counts. The costs take (contexts x bytes seen x languages) floats.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; bytes never seen in learning cost the
-uniform code; ties go to the language first by name; repeated rows are scored each; with nothing to learn from all rows
-are ``und``; an empty table gives an empty result; only the named columns are read.
+uniform code; ties go to the language first by name; repeated rows teach once and are scored each; with nothing to learn from
+all rows are ``und``; an empty table gives an empty result; other columns pass through, ``lang_pred`` and ``score`` are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import mapped
+
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 19
 
@@ -114,13 +117,13 @@ def fit_grams(by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Model:
     return Model(langs, symbols, node, costs.reshape(-1, len(langs)))
 
 
-def train(docs: DataFrame, usable: Column, per_language: int = 150, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+def train(docs: DataFrame, usable: Column, per_language: int = 150, language_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model from rows where ``usable`` holds and the language is known, of every language there is."""
-    ok = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where("t <> ''")
-    first = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    ids = ok.select("k", "l").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select(F.col("k").alias("_k"), F.col("l").alias("_l")).distinct()
-    rows = ok.join(F.broadcast(ids), F.col("k").eqNullSafe(F.col("_k")) & (F.col("l") == F.col("_l")), "left_semi")
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))).where(F.col("r") <= per_language)  # ids may repeat
+    ok = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where("t <> ''")
+    ok = ok.withColumn("h", F.xxhash64("t"))
+    found = sampled(ok.groupBy("l", "k", "h").agg(F.max(F.octet_length("t")).alias("size")), "l", per_language, language_bytes)
+    chosen = F.broadcast(found.select(*(F.col(c).alias(f"_{c}") for c in ("l", "k", "h"))))  # rows: languages x per_language
+    rows = ok.join(chosen, (F.col("l") == F.col("_l")) & F.col("k").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["l", "k", "h"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         found = grams([t.encode() for t in pdf["t"]])
@@ -132,24 +135,36 @@ def train(docs: DataFrame, usable: Column, per_language: int = 150, key: str = "
     return fit_grams(by_lang) if by_lang else None
 
 
+def sampled(rows: DataFrame, of: str, most: int, most_bytes: int) -> DataFrame:
+    """Of distinct (of, k, h, size) the first ``most`` of each ``of`` by a hash, and no more than reach ``most_bytes`` (one
+    at least). Each task first picks its own, then some parts of each ``of``, then each ``of`` as a whole."""
+    by = (F.xxhash64("k", "h"), "k", "h")
+    part = F.pmod(F.xxhash64("h", "k"), F.lit(64))
+    rows = rows.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy(of, "part").orderBy(*by))).where(F.col("r") <= most)
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(of).orderBy(*by))).where(F.col("r") <= most)
+    before = F.sum("size").over(Window.partitionBy(of).orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_bytes).drop("part", "r", "before", "size")
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The input with ``lang_pred`` and ``score``."""
-    sent, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             pred, score = [], []
-            for x in batch.column(names.index(text)):
+            for x in batch.column(1):
                 t = x.as_py()
                 if model is None or not t or not _LETTER.search(t):
                     pred.append("und")
                     score.append(0.0)
                     continue
-                bits = model.bits([t.encode("utf-8", "replace")])[0]
+                data = t.encode("utf-8", "replace")
+                bits = model.bits([data])[0]
                 best = int(bits.argmin())
                 pred.append(model.langs[best])
-                score.append(float(1 / np.exp2(np.clip(bits[best] - bits, -1000, 0)).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+                score.append(float(1 / np.exp2((bits[best] - bits) / len(data)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["kept", "new_lang_pred", "new_score"])
 
-    return docs.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}).schema)
+    return mapped(docs, text, run, {"lang_pred": "string", "score": "double"})

@@ -5,7 +5,7 @@ is rejected if too little of it is left, or if it fails the base rules on its wh
 
 Defined cases: null and empty texts have no words, fail the base rules and keep an empty cleaned text; a line without a
 word is neither good nor bad and is dropped from the cleaned text only between removed lines; repeated rows are judged
-each by itself; an empty table gives an empty result; other columns pass through ``clean`` untouched.
+each by itself; an empty table gives an empty result; other columns pass through, ``_q`` is replaced.
 """
 
 from __future__ import annotations
@@ -147,36 +147,39 @@ def line_fails(x: Column, rules: LineRules) -> Column:
 
 def judged(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """The input with one struct column ``_q``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    good = F.transform(F.filter(F.col("_lines"), lambda x: ~line_fails(x, rules)), lambda x: x["line"])
+    t, p = F.coalesce(F.col(text), F.lit("")), "_"
+    while any(c.startswith(p) for c in docs.columns if c != "_q"):
+        p += "_"  # names of its own, whatever the input's are
+    good = F.transform(F.filter(F.col(p + "lines"), lambda x: ~line_fails(x, rules)), lambda x: x["line"])
 
     def total(field: str) -> Column:
-        return F.aggregate(F.col(f"_lines.{field}"), F.lit(0).cast("long"), lambda a, n: a + n)
+        return F.aggregate(F.col(f"{p}lines.{field}"), F.lit(0).cast("long"), lambda a, n: a + n)
 
-    df = docs.drop("_q").withColumn("_lines", parsed_lines(t))  # columns of these names are replaced
-    df = df.withColumn("_w", F.flatten("_lines.words"))
+    docs = docs.drop("_q")
+    df = docs.withColumn(p + "lines", parsed_lines(t))
+    df = df.withColumn(p + "w", F.flatten(p + "lines.words"))
     df = df.withColumns(
         {
-            "_n": F.size("_w").cast("long"),
-            "_chars": total("chars"),
-            "_symbols": total("symbols"),
-            "_dups": (F.size("_lines") - F.size(F.array_distinct("_lines.line"))).cast("long"),
-            "_repeats": covered_words(F.col("_w")),
-            "_good": F.array_distinct(good),
+            p + "n": F.size(p + "w").cast("long"),
+            p + "chars": total("chars"),
+            p + "symbols": total("symbols"),
+            p + "dups": (F.size(p + "lines") - F.size(F.array_distinct(p + "lines.line"))).cast("long"),
+            p + "repeats": covered_words(F.col(p + "w")),
+            p + "good": F.array_distinct(good),
         }
     )
-    base = (F.col("_n") < rules.min_words) | (F.lit(100) * F.col("_repeats") > F.lit(50) * F.col("_n"))
-    left = F.char_length(_bare(F.array_join("_good", "\n")))
-    kept = ~base & (left >= F.col("_chars") * rules.min_kept_share)
+    base = (F.col(p + "n") < rules.min_words) | (F.lit(100) * F.col(p + "repeats") > F.lit(50) * F.col(p + "n"))
+    left = F.char_length(_bare(F.array_join(p + "good", "\n")))
+    kept = ~base & (left >= F.col(p + "chars") * rules.min_kept_share)
     q = F.struct(
-        F.col("_n").alias("n_words"),
-        F.col("_chars").alias("word_chars"),
-        F.col("_symbols").alias("n_symbols"),
-        F.col("_dups").alias("n_dup_lines"),
-        F.col("_repeats").alias("n_repeat_words"),
+        F.col(p + "n").alias("n_words"),
+        F.col(p + "chars").alias("word_chars"),
+        F.col(p + "symbols").alias("n_symbols"),
+        F.col(p + "dups").alias("n_dup_lines"),
+        F.col(p + "repeats").alias("n_repeat_words"),
         base.alias("base_failed"),
         kept.alias("kept"),
-        F.array_join("_good", "\n").alias("clean"),
+        F.array_join(p + "good", "\n").alias("clean"),
     )
     # a generated column: a filter on it stays above, and does not copy what it needs into each lambda
-    return df.select("*", F.explode(F.array(q)).alias("_q")).drop("_w", "_lines", "_n", "_chars", "_symbols", "_dups", "_repeats", "_good")
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(q)).alias("_q"))

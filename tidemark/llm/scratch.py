@@ -8,15 +8,18 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this process where it is unset, as in tests on one machine."""
+    """spark.checkpoint.dir; a folder of this process where it is unset and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return _own[0]
@@ -29,6 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mapped(docs: DataFrame, column: str, run, fields: dict[str, str]) -> DataFrame:
+    """The rows with new columns from ``run``, which gets Arrow batches of (kept, t) and gives (kept, *fields). Whatever the
+    other columns are called they pass through; those named like a new one are replaced."""
+    keep = [c for c in docs.columns if c not in fields] or [column]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), F.col(f"`{column}`").alias("t"))
+    schema = rows.select("kept").schema
+    for name, kind in fields.items():
+        schema = schema.add(f"new_{name}", kind)
+    found = rows.mapInArrow(run, schema)
+    kept = [F.col(f"kept.`{c}`") for c in keep if c not in fields]
+    return found.select(*kept, *(F.col(f"`new_{c}`").alias(c) for c in fields))
+
+
 _shipped: set[str] = set()
 
 

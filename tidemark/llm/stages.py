@@ -1,10 +1,17 @@
-"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and works on all rows that its predecessor kept."""
+"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+
+Defined cases, beside those of the operators: null and empty texts fail the base rules and go in the first stage; rows of one
+id are one document, of which the duplicate stage keeps one row (that with the smallest hash of its text); rows without an
+id are in no class and stay; an empty table gives an empty result; columns of any other name pass through up to the last
+stage, but a column ``_q`` is dropped by the first and ``_n``, ``_spans``, ``_items``, ``_near``, ``_units``, ``_removed``, ``_runs``
+and ``_kept`` are filled anew by the stages that use them.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, packing, quality_rules, repeats
@@ -17,10 +24,14 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id; rows without an id stay."""
+    """Of each class of near duplicates, the document with the smallest id, once; rows without an id stay."""
     ship(spark)
     gone = jaccard.near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")  # dealt by id already
+    taken = f"_{max(map(len, docs.columns)) * '_'}"
+    named = named.withColumn(taken, F.row_number().over(again)).where(F.col(taken) == 1)
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +39,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     found = repeats.covered_text(docs, repeats.Words(13), keep=docs.columns)
     text = F.when(F.col("_removed") > 0, F.col("_kept").cast("string")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    found = found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    return found.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

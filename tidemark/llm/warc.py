@@ -7,7 +7,8 @@ succeeded. Reading deals the selected index rows by archive and stretch, sorts t
 read of at most ``RANGE_BYTES`` (a single longer record is one read).
 
 Equal payloads (same SHA-1 and length): the smallest id is the response, the others revisit it, without the payload. The
-groups are found on digests alone; the payloads are dealt once, evenly, whatever the sizes of the groups.
+groups are found on digests and ids alone; the payloads are dealt once, by id and digest, evenly whatever the groups' sizes
+(rows equal in id and payload stay together).
 
 Defined cases: null payloads are empty; a null URL is written as an empty one and read as null; a null id never is a group's
 response unless all its ids are null; rows that share the smallest id are all responses; an empty table writes no record.
@@ -67,8 +68,12 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     spark = pages.sparkSession
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
-    groups = rows.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(groups, ["sha", "size"], "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "url", "payload", "first", "revisit")
+    narrow = rows.groupBy("page_id", "sha", "size").agg(F.count(F.lit(1)).alias("n"))  # one row for each of a page's payloads
+    groups = narrow.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    decided = narrow.drop("n").join(groups, ["sha", "size"]).withColumnsRenamed({"page_id": "i", "sha": "s", "size": "z"})
+    same = F.col("page_id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z"))
+    rows = rows.join(decided, same, "left")  # payloads are dealt by id, so that copies spread
+    rows = rows.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "url", "payload", "first", "revisit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, place, name, offset = None, None, "", 0
