@@ -101,7 +101,7 @@ def test_rolling_and_resample(spark):
     with pytest.raises(ValueError):
         timeops.rolling_window_mean(df, 0)
     with pytest.raises(ConfigurationError):
-        timeops.resample_mean(df, "1M")
+        timeops.resample_mean(df, "1W")
 
 
 def test_resample_gaps_takes_all_users_and_fills_the_whole_range(spark, tmp_path):
@@ -151,3 +151,79 @@ def test_plans_hold_no_python(spark):
     df = rows(spark, [1.0, 2, 3])
     for out in (describe.describe(df, ["conc"]), correlate.correlate(df, ["datetime"], allow_missing_units=True), timeops.rolling_window_mean(df, keys=["site_id"])):
         assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_times_are_utc_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT timestamp_seconds(1704067200 + 3600 * id) AS datetime, CAST(id AS DOUBLE) AS v FROM range(30)")
+        b = timeops.time_bounds(df)
+        assert b.start.isoformat() == "2024-01-01T00:00:00+00:00" and b.end.isoformat() == "2024-01-02T05:00:00+00:00"
+        days = timeops.resample_mean(df, "1D").orderBy("datetime").collect()
+        assert [(r["datetime"].isoformat(), r["v"]) for r in days] == [("2024-01-01T00:00:00", 11.5), ("2024-01-02T00:00:00", 26.5)]
+        naive = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' AS datetime")
+        assert timeops.time_bounds(naive).start.isoformat() == "2024-01-01T00:00:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_calendar_rules(spark):
+    df = spark.sql("SELECT to_timestamp_ntz(d) AS datetime, v FROM VALUES ('2024-01-31 12:00:00', 1.0), ('2024-03-01 00:00:00', 3.0), ('2024-03-31 23:00:00', 5.0), ('2025-02-01 00:00:00', 7.0) AS t(d, v)")
+    got = {rule: [(r["datetime"].date().isoformat(), r["v"]) for r in timeops.resample_mean(df, rule).orderBy("datetime").collect() if r["v"] is not None] for rule in ("MS", "ME", "QS", "Y", "2MS")}
+    assert got["MS"] == [("2024-01-01", 1.0), ("2024-03-01", 4.0), ("2025-02-01", 7.0)]
+    assert got["ME"] == [("2024-01-31", 1.0), ("2024-03-31", 4.0), ("2025-02-28", 7.0)]
+    assert got["QS"] == [("2024-01-01", 3.0), ("2025-01-01", 7.0)] and got["Y"] == [("2024-12-31", 3.0), ("2025-12-31", 7.0)]
+    assert got["2MS"] == [("2024-01-01", 1.0), ("2024-03-01", 4.0), ("2025-01-01", 7.0)]
+    for rule in ("W", "0h", "2ME", "x"):
+        with pytest.raises(ConfigurationError):
+            timeops.resample_mean(df, rule)
+
+
+def test_trend_keys_of_any_name(spark):
+    rows = [(g, datetime(2024, 1, 1 + i), 2.0 * i + 5, "valid", "c") for g in ("a", "b") for i in range(5)]
+    for key in ("x", "n", "t", "y", "_t", "slope0"):
+        df = spark.createDataFrame(rows, f"`{key}` string, datetime timestamp_ntz, concentration double, flag string, pollutant string")
+        got = trend.linear_trend(df, "day", "pollutant", group_by=[key], allow_missing_units=True).collect()
+        assert [(r[1], round(r[2], 9), round(r[3], 9), r[5]) for r in got] == [("a", 2.0, 5.0, 5), ("b", 2.0, 5.0, 5)]
+
+
+def test_checks_of_settings_and_types(spark):
+    df = spark.createDataFrame([("a", 1.0)], "s string, v double")
+    with pytest.raises(TypeError):
+        units.convert_column(df, "s", "ug/m3", "mg/m3")
+    assert units.convert_column(df, "v", "mg/m3", "ug/m3").first()["v"] == 1000.0 and units.convert_column(df, "s", "ppb", "ppb") is df
+    with pytest.raises(TypeError):
+        units.convert_values([1.0], "ppb", "ppm")
+    with pytest.raises(ValueError):
+        units.elapsed_between(datetime(2024, 1, 2), datetime(2024, 1, 1), "day")
+    same = datetime(2024, 1, 1)
+    assert units.elapsed_between(same, same, "calendar_month") == pytest.approx(1 / 31) and units.elapsed_between(same, same, "calendar_year") == pytest.approx(1 / 366)
+    ts = spark.createDataFrame([(datetime(2024, 1, 1), 1.0, "valid", "p")], "datetime timestamp_ntz, concentration double, flag string, pollutant string")
+    data = Measurements(ts)
+    with pytest.raises(ValueError):
+        jobs.TrendJob(data, {jobs.TrendJob.Config.TIME_UNIT: "week"})
+    with pytest.raises(ConfigurationError):
+        jobs.TrendJob(data, metadata={"title": "t"})
+
+
+def test_correlation_report_and_hooks(spark):
+    rows = [(datetime(2024, 1, 1, i), s, c, float(i * k), "valid") for s in ("s1", "s2") for c, k in (("a", 1), ("b", -2), ("c", 3)) for i in range(5)]
+    df = spark.createDataFrame(rows, "datetime timestamp_ntz, site_id string, pollutant string, conc double, flag string")
+    seen = []
+
+    class Own(jobs.CorrelationJob):
+        def post_process(self):
+            seen.append(set(self.results))
+
+    c = jobs.CorrelationJob.Config
+    text = Own(Measurements(df), {c.ALLOW_MISSING_UNITS: True, c.ORDER_BY: ["datetime", "site_id"]}).run().report_cli()
+    assert seen == [{"pearson", "units_status"}] and "Strongest positive:" in text and "a - c: 1.000" in text and "a - b: -1.000" in text
+    grouped = jobs.CorrelationJob(Measurements(df), {c.ALLOW_MISSING_UNITS: True, c.GROUP_BY: ["site_id"]}).run().report_cli()
+    assert "site_id=s1" in grouped and "site_id=s2" in grouped
+
+
+def test_public_names():
+    import tidemark
+
+    assert all(callable(getattr(tidemark, n)) for n in tidemark.__all__ if n != "__version__") and tidemark.hello()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from calendar import isleap, monthrange
+from datetime import datetime
 from enum import Enum
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..errors import UnitError
 
@@ -16,6 +19,8 @@ class UnitFamily(Enum):
 
 
 class TimeUnit(str, Enum):
+    """Fixed values."""
+
     HOUR = "hour"
     DAY = "day"
     CALENDAR_MONTH = "calendar_month"
@@ -23,7 +28,7 @@ class TimeUnit(str, Enum):
 
 
 class Unit(Enum):
-    """Symbol, family, factor to the family's base unit, decimals in reports."""
+    """Symbol, family, factor to the family's base unit, decimals in reports."""
 
     UG_M3 = ("ug/m3", UnitFamily.MASS_CONCENTRATION, 1.0, 1)
     MG_M3 = ("mg/m3", UnitFamily.MASS_CONCENTRATION, 1000.0, 3)
@@ -61,9 +66,22 @@ def get_factor(src: Unit | str, dst: Unit | str) -> float:
 
 
 def convert_values(values: Column, src: Unit | str, dst: Unit | str) -> Column:
-    """The column in another unit; the same column where the factor is 1."""
+    """The column in another unit; the same object where the factor is 1."""
     factor = get_factor(src, dst)
-    return values if factor == 1.0 else values * F.lit(factor)
+    if factor == 1.0:
+        return values
+    if not isinstance(values, Column):
+        raise TypeError(f"a column is needed, not {type(values).__name__}")
+    return values * F.lit(factor)
+
+
+def convert_column(df: DataFrame, column: str, src: Unit | str, dst: Unit | str) -> DataFrame:
+    """The frame with one numeric column in another unit; the same frame where the factor is 1."""
+    if get_factor(src, dst) == 1.0:
+        return df
+    if not isinstance(df.schema[column].dataType, NumericType):
+        raise TypeError(f"column {column!r} isn't numeric")
+    return df.withColumn(column, convert_values(F.col(f"`{column}`"), src, dst))
 
 
 def round_for_reporting(values: Column, unit: Unit | str, category: str | None = None) -> Column:
@@ -97,3 +115,24 @@ def elapsed(start: Column, end: Column, unit: TimeUnit | str) -> Column:
     if unit is TimeUnit.CALENDAR_MONTH:
         return 12 * years + F.month(end) - F.month(start) + F.day(end) / F.day(F.last_day(end))
     return years + F.dayofyear(end) / F.dayofyear(F.make_date(F.year(end), F.lit(12), F.lit(31)))
+
+
+def start_offset(day: Column, start: Column, unit: TimeUnit | str) -> Column:
+    """What to take from the time since ``day`` (the first of a year) to have the time since ``start``."""
+    unit = TimeUnit(unit)
+    if unit in (TimeUnit.HOUR, TimeUnit.DAY):
+        return elapsed(day, start, unit)
+    years = F.year(start) - F.year(day)
+    return 12 * years + F.month(start) - F.month(day) if unit is TimeUnit.CALENDAR_MONTH else years
+
+
+def elapsed_between(start: datetime, end: datetime, unit: TimeUnit | str) -> float:
+    """``elapsed`` of two datetimes; an end before the start is a ValueError."""
+    if end < start:
+        raise ValueError("the end is before the start")
+    unit, seconds = TimeUnit(unit), (end - start).total_seconds()
+    if unit in (TimeUnit.HOUR, TimeUnit.DAY):
+        return seconds / (3600 if unit is TimeUnit.HOUR else 86400)
+    if unit is TimeUnit.CALENDAR_MONTH:
+        return 12 * (end.year - start.year) + end.month - start.month + end.day / monthrange(end.year, end.month)[1]
+    return end.year - start.year + end.timetuple().tm_yday / (366 if isleap(end.year) else 365)

@@ -30,11 +30,11 @@ def average_rank(value: str, keys: list[str]) -> Column:
     return first + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
 
 
-def correlate(df: DataFrame, order_by: list[str], group_by: list[str] | None = None, method: Method | str = Method.PEARSON, category_col: str = "pollutant", value_cols: list[str] | str = "conc", flag_col: str = "flag", min_samples: int = MIN_SAMPLES, units: dict | None = None, allow_missing_units: bool = False, wide: bool = False) -> DataFrame:
+def correlate(df: DataFrame, order_by: list[str], group_by: list[str] | None = None, method: Method | str = Method.PEARSON, category_col: str = "pollutant", value_cols: list[str] | str = "conc", flag_col: str = "flag", min_samples: int = MIN_SAMPLES, units: dict | None = None, allow_missing_units: bool = False, wide: bool = False, categories: list[str] | None = None) -> DataFrame:
     """group columns, var_x, var_y, correlation, n, value_col_name for var_x <= var_y; wide: var_y become columns.
 
     Rows with a null flag, category or value go. A category counts in every group if it has ``min_samples`` rows in
-    some group. Values pair by their place in ``order_by`` within (group, category), up to the shorter of the two.
+    some group. Wide with ``categories`` names the columns and so needs no pass to find them. Values pair by their place in ``order_by`` within (group, category), up to the shorter of the two.
     """
     try:
         method = Method(method)
@@ -69,7 +69,7 @@ def correlate(df: DataFrame, order_by: list[str], group_by: list[str] | None = N
         tidy = tidy.unionByName(p)
     if not wide:
         return tidy
-    return tidy.groupBy(*groups, "value_col_name", "var_x").pivot("var_y").agg(F.first("correlation"))
+    return tidy.groupBy(*groups, "value_col_name", "var_x").pivot("var_y", categories).agg(F.first("correlation"))
 
 
 def top_correlations(tidy: DataFrame, k: int = 3, negative: bool = False) -> DataFrame:

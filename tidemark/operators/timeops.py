@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,18 @@ def to_utc(t: datetime) -> datetime:
     return ensure_timezone_aware(t).astimezone(timezone.utc)
 
 
+def utc(df: DataFrame, time_col: str) -> Column:
+    """The column as naive UTC time: instants whatever the session's zone, naive times as they are."""
+    c = F.col(f"`{time_col}`")
+    if isinstance(df.schema[time_col].dataType, T.TimestampType):
+        return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
+    return c.cast("timestamp_ntz")
+
+
 def bounds_frame(df: DataFrame, time_col: str = "datetime") -> DataFrame:
-    return df.agg(F.min(time_col).alias("start"), F.max(time_col).alias("end"))
+    """Smallest and largest time over all rows, in UTC."""
+    t = utc(df, time_col)
+    return df.agg(F.min(t).alias("start"), F.max(t).alias("end"))
 
 
 def time_bounds(df: DataFrame, time_col: str = "datetime") -> TimeBounds:
@@ -38,11 +48,43 @@ def time_bounds(df: DataFrame, time_col: str = "datetime") -> TimeBounds:
     return TimeBounds(to_utc(row["start"]), to_utc(row["end"]))
 
 
-def _seconds(rule: str) -> int:
-    m = re.fullmatch(r"(\d*)\s*(s|min|t|h|d)", rule.strip().lower())
-    if not m or m[1] and int(m[1]) < 1:
-        raise ConfigurationError(f"resampling rule {rule!r}: a number and s, min, h or D are needed")
-    return int(m[1] or 1) * {"s": 1, "min": 60, "t": 60, "h": 3600, "d": 86400}[m[2]]
+_SECONDS = {"s": 1, "min": 60, "t": 60, "h": 3600, "d": 86400}
+_MONTHS = {"m": 1, "me": 1, "ms": 1, "q": 3, "qe": 3, "qs": 3, "y": 12, "ye": 12, "ys": 12, "a": 12}
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Bins of ``width`` seconds or calendar months; those of calendar units without an S are named by their last day."""
+
+    width: int
+    months: bool = False
+    by_end: bool = False
+
+    @classmethod
+    def parse(cls, rule: str) -> Rule:
+        m = re.fullmatch(r"(\d*)\s*([a-z]+)", rule.strip().lower())
+        n, unit = (int(m[1] or 1), m[2]) if m else (0, "")
+        if n >= 1 and unit in _SECONDS:
+            return cls(n * _SECONDS[unit])
+        by_end = unit in _MONTHS and not unit.endswith("s")
+        if n >= 1 and unit in _MONTHS and not (by_end and n > 1):
+            return cls(n * _MONTHS[unit], True, by_end)
+        raise ConfigurationError(f"resampling rule {rule!r}: a number and s, min, h, D, MS, QS or YS are needed, or ME, QE or YE alone")
+
+    def origin(self, first: Column) -> Column:
+        """Where bin 0 starts: midnight of the first day, or the first month, quarter or year."""
+        unit = "day" if not self.months else "year" if self.width % 12 == 0 else "quarter" if self.width % 3 == 0 else "month"
+        return F.date_trunc(unit, first).cast("timestamp_ntz")
+
+    def bin_of(self, origin: Column, t: Column) -> Column:
+        since = (F.year(t) - F.year(origin)) * 12 + F.month(t) - F.month(origin) if self.months else F.timestamp_diff("SECOND", origin, t)
+        return F.floor(since / F.lit(self.width)).cast("long")
+
+    def name_of(self, origin: Column, at: Column) -> Column:
+        if not self.months:
+            return F.timestamp_add("SECOND", at * self.width, origin).cast("timestamp_ntz")
+        start = F.add_months(origin.cast("date"), ((at + int(self.by_end)) * self.width).cast("int"))
+        return (F.date_sub(start, 1) if self.by_end else start).cast("timestamp_ntz")
 
 
 def _numeric(df: DataFrame, columns: list[str] | None, but: set[str]) -> list[str]:
@@ -52,21 +94,17 @@ def _numeric(df: DataFrame, columns: list[str] | None, but: set[str]) -> list[st
 
 
 def resample_mean(df: DataFrame, rule: str = "1h", time_col: str = "datetime", columns: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Means of left-closed bins anchored at midnight of the first day; bins without rows are there with nulls."""
-    width, keys = _seconds(rule), list(keys or [])
+    """Means of left-closed bins anchored at midnight of the first day (calendar rules: at the first month, quarter or year),
+    in UTC; bins without rows are there with nulls."""
+    rule, keys = Rule.parse(rule), list(keys or [])
     names = _numeric(df, columns, {time_col, *keys})
-    t = F.col(time_col).cast("timestamp_ntz")
-    base = df.where(F.col(time_col).isNotNull()).select(*keys, t.alias("_t"), *names)
+    base = df.where(F.col(time_col).isNotNull()).select(*keys, utc(df, time_col).alias("_t"), *names)
     edges = base.groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    origin = F.date_trunc("day", F.col("_lo")).cast("timestamp_ntz")
-
-    def bin_of(c):
-        return F.floor(F.timestamp_diff("SECOND", origin, c) / F.lit(width)).cast("long")
-
-    spine = edges.select(*keys, origin.alias("_origin"), F.explode(F.sequence(bin_of(F.col("_lo")), bin_of(F.col("_hi")))).alias("_bin"))
+    origin = rule.origin(F.col("_lo"))
+    spine = edges.select(*keys, origin.alias("_origin"), F.explode(F.sequence(rule.bin_of(origin, F.col("_lo")), rule.bin_of(origin, F.col("_hi")))).alias("_bin"))
     first = base.join(edges, keys) if keys else base.crossJoin(F.broadcast(edges))  # without keys: one row
-    means = first.withColumn("_bin", bin_of(F.col("_t"))).groupBy(*keys, "_bin").agg(*(F.avg(c).alias(c) for c in names))
-    at = F.timestamp_add("SECOND", F.col("_bin") * width, F.col("_origin")).cast("timestamp_ntz")
+    means = first.withColumn("_bin", rule.bin_of(origin, F.col("_t"))).groupBy(*keys, "_bin").agg(*(F.avg(c).alias(c) for c in names))
+    at = rule.name_of(F.col("_origin"), F.col("_bin"))
     return spine.join(means, [*keys, "_bin"], "left").select(*keys, at.alias(time_col), *names)
 
 

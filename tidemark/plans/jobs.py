@@ -11,6 +11,7 @@ import time
 from collections.abc import Mapping
 from enum import Enum
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from .. import __version__
@@ -18,10 +19,12 @@ from ..errors import ConfigurationError, DataValidationError, UnitError
 from ..functions.units import TimeUnit, Unit
 from ..operators import correlate, describe, timeops, trend
 from ..sources.series import Measurements, map_columns
-from .provenance import make_provenance
+from .provenance import get_logger, make_provenance
 
 
 class Domain(str, Enum):
+    """What a job may belong to."""
+
     QC = "qc"
     SOURCE_APPORTIONMENT = "source_apportionment"
     HEALTH = "health"
@@ -33,6 +36,8 @@ class Job:
     """Subclasses name their settings and say how to compute, and what their reports add."""
 
     Config: type[Enum]
+    #: Keys that metadata may have.
+    Metadata: type[Enum] = Enum("Metadata", {"TITLE": "title", "DESCRIPTION": "description", "AUTHOR": "author"})
     name = "job"
     domain = Domain.STATISTICS
     schema_version = "1.0.0"
@@ -42,6 +47,10 @@ class Job:
         for k in config or {}:
             if not isinstance(k, self.Config):
                 raise ConfigurationError(f"setting {k!r} isn't a {self.Config.__name__}")
+        for k in metadata or {}:
+            if not isinstance(k, self.Metadata):
+                raise ConfigurationError(f"metadata key {k!r} isn't a {self.Metadata.__name__}")
+        self.log = get_logger(f"tidemark.{self.name}", domain=self.domain.value)
         self.dataset, self.config, self.metadata, self.mapping = dataset, dict(config or {}), dict(metadata or {}), mapping
         self.validate_config()
         self.results: dict = {}
@@ -55,7 +64,7 @@ class Job:
     def from_dataframe(cls, df: DataFrame, *, config=None, column_mapping=None, metadata=None, required=None, units=None):
         """Columns resolve onto canonical names; ``units`` goes to the dataset."""
         found = map_columns(df, required=list(required or cls.synonyms), synonyms=cls.synonyms, explicit=column_mapping)
-        return cls(Measurements(found.frame, units=units, metadata=metadata or {}, mapping=found.mapping), config, metadata, found)
+        return cls(Measurements(found.frame, units=units, mapping=found.mapping), config, metadata, found)
 
     def setting(self, name: str, default=None):
         return self.config.get(self.Config[name], default)
@@ -63,17 +72,27 @@ class Job:
     def validate_config(self) -> None:
         pass
 
+    def validate_dataset(self) -> None:
+        """Checks before the run; subclasses call this one first."""
+        if self.dataset.is_empty():
+            raise DataValidationError(f"{self.name}: there are no rows")
+
     def compute(self, operations) -> dict:
         raise NotImplementedError
 
+    def post_process(self) -> None:
+        """Called once the results are there, before provenance is kept."""
+
     def run(self, operations=None):
         if self.provenance:
             raise RuntimeError("this job has run")
-        if self.dataset.is_empty():
-            raise DataValidationError("there are no rows")
+        self.validate_dataset()
         began = time.perf_counter()
         self.results = self.compute(operations)
-        self.provenance = make_provenance(self.name, self.domain, self.dataset.get_dataset_id(), self.config, __version__, {"elapsed_seconds": time.perf_counter() - began})
+        self.post_process()
+        took = time.perf_counter() - began
+        self.provenance = make_provenance(self.name, self.domain, self.dataset.get_dataset_id(), self.config, __version__, {"elapsed_seconds": took})
+        self.log.info("run ended after %.3f s", took)
         return self
 
     def _ran(self) -> None:
@@ -144,6 +163,11 @@ class DescriptiveJob(Job):
         once = t[keys].drop_duplicates()
         return {c: int(once[c].sum()) for c in ("n_total", "n_valid", "n_missing")}
 
+    def body(self) -> list[str]:
+        b, t = self.results["time_bounds"], self.totals()
+        lines = [f"Period: {b.start.isoformat()} to {b.end.isoformat()}", f"Rows: {t['n_total']}, valid {t['n_valid']}, missing {t['n_missing']}"]
+        return [*lines, self.results["statistics"].to_string(index=False)]
+
     def metrics(self) -> dict:
         b = self.results["time_bounds"]
         rows = [{c: _json(x) for c, x in r.items()} for r in self.results["statistics"].to_dict("records")]
@@ -189,6 +213,40 @@ class CorrelationJob(Job):
             out[m.value] = found.toPandas()
         return out | {"units_status": self.units_status()}
 
+    def body(self) -> list[str]:
+        """For each method a matrix and its extremes; with groups, a table for each of them."""
+        groups, lines = list(self.setting("GROUP_BY") or []), [f"Units: {self.results['units_status']}"]
+        for method, found in ((k, v) for k, v in self.results.items() if k != "units_status"):
+            lines.append(f"{method}:")
+            if "var_y" not in found.columns:
+                lines.append(found.to_string(index=False))
+            elif groups:
+                for values, part in found.groupby(groups, dropna=False, sort=True):
+                    lines += [", ".join(f"{c}={v}" for c, v in zip(groups, values)), part.drop(columns=groups).to_string(index=False)]
+            else:
+                for name, part in found.groupby("value_col_name"):
+                    lines += [f"[{name}]", matrix(part).to_string(float_format="{:6.3f}".format), *extremes(part)]
+        return lines
+
+
+def matrix(tidy: pd.DataFrame) -> pd.DataFrame:
+    """Both halves of the pairs as a square, with 1 on its diagonal."""
+    names = sorted({*tidy["var_x"], *tidy["var_y"]})
+    out = pd.DataFrame(float("nan"), index=names, columns=names)
+    for x, y, r in zip(tidy["var_x"], tidy["var_y"], tidy["correlation"]):
+        out.loc[x, y] = out.loc[y, x] = 1.0 if x == y else r
+    return out
+
+
+def extremes(tidy: pd.DataFrame, k: int = 3) -> list[str]:
+    """The k most positive and most negative pairs of different categories."""
+    pairs = tidy[(tidy["var_x"] != tidy["var_y"]) & tidy["correlation"].notna()].sort_values(["correlation", "var_x", "var_y"])
+    lines = []
+    for title, part in (("Strongest positive:", pairs.iloc[::-1].head(k)), ("Strongest negative:", pairs.head(k))):
+        lines.append(title)
+        lines += [f"  {x} - {y}: {r:.3f} (n={n})" for x, y, r, n in zip(part["var_x"], part["var_y"], part["correlation"], part["n"])]
+    return lines
+
 
 class TrendJob(Job):
     class Config(Enum):
@@ -203,7 +261,27 @@ class TrendJob(Job):
 
     name = "trend"
 
+    def validate_config(self) -> None:
+        unit = self.setting("TIME_UNIT", TimeUnit.DAY)
+        if not isinstance(unit, (str, TimeUnit)):
+            raise TypeError(f"the time unit must be a TimeUnit or its name, not {type(unit).__name__}")
+        TimeUnit(unit)
+        n = self.setting("MIN_SAMPLES", 3)
+        if not isinstance(n, int) or n < 2:
+            raise ValueError("min_samples must be a whole number of at least 2")
+
     def compute(self, operations) -> dict:
         unit = TimeUnit(self.setting("TIME_UNIT", TimeUnit.DAY))
         found = trend.linear_trend(self.dataset.frame, unit, self.setting("CATEGORY_COL", "pollutant"), self.dataset.time_col, self.setting("VALUE_COL", "concentration"), self.setting("FLAG_COL", "flag"), self.setting("GROUP_BY"), self.setting("MIN_SAMPLES", 3), self.setting("MIN_DURATION_YEARS", 1.0), self.dataset.units, self.setting("ALLOW_MISSING_UNITS", False))
         return {"linear_trend": found.toPandas()}
+
+    def body(self) -> list[str]:
+        """A line for each series; an r squared that isn't there is shown as such."""
+        found = self.results["linear_trend"]
+        keys = list(found.columns[: list(found.columns).index("slope")])
+        lines = ["linear_trend:"]
+        for row in found.to_dict("records"):
+            r2 = "none" if _json(row["r_squared"]) is None else f"{row['r_squared']:.4f}"
+            flags = ", ".join(c for c in ("short_duration_flag", "low_n_flag") if row[c])
+            lines.append(f"{', '.join(f'{k}={row[k]}' for k in keys)}: slope {row['slope']:.6g} {row['slope_units']}, intercept {row['intercept']:.6g}, r2 {r2}, n {row['n']}{f' ({flags})' if flags else ''}")
+        return lines
