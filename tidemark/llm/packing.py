@@ -3,7 +3,7 @@
 Texts become token ids word by word through a bounded memo (the tokenizer never joins words across ASCII white space),
 documents longer than the capacity are cut into pieces, and pieces are dealt by hash into groups of bounded size. In a
 group, best fit in decreasing order gives the first packing; then documents are moved and exchanged one for one and two
-for one between underfull bins wherever that raises the sum of squared fills, until bins empty or nothing improves.
+for one between underfull bins wherever that raises the sum of squared fills, until bins empty or the emptiest can't improve.
 
 Defined cases: null and empty texts are one piece, the end token alone; rows repeated in full stay apart by a row number
 given within their group; an empty table gives an empty result; only the named columns are read.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Words of which a process remembers the ids, and the bytes of text that it splits at once.
 MEMO_WORDS, RUN_BYTES = 500_000, 1 << 20
+#: Bins that a round of the local search tries to empty; a bound on the search, not on the pieces.
+DONORS = 8
 PUNCTUATION = string.punctuation.encode()
 
 
@@ -132,15 +134,17 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Moves and exchanges between underfull bins, emptiest first, each raising the sum of squared fills."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, donors: int = DONORS) -> list[list[int]]:
+    """Moves and exchanges between underfull bins, emptiest first, each raising the sum of squared fills. A round tries to
+    empty the ``donors`` emptiest bins into all others; the search ends with a round in which none of them gave anything,
+    or at the fewest bins that the total allows."""
     fill = [sum(lengths[i] for i in b) for b in bins]
     total = sum(fill)
     changed = True
     while changed and len(bins) > -(-total // capacity):
         changed = False
         order = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
-        for a in order[:8]:
+        for a in order[:donors]:
             for b in reversed(order):
                 if a == b or not bins[a] or fill[b] < fill[a] or fill[b] == capacity:
                     continue
