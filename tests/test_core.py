@@ -2,6 +2,7 @@
 settings are honoured, results are kept by method, reports survive a null r squared, and types are checked."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -147,6 +148,24 @@ def test_jobs(spark):
     assert config_hash({"a": 1, "b": 2}) == config_hash({"b": 2, "a": 1})
 
 
+def test_spread_ranks_match_one_sort(spark):
+    r = random.Random(7)
+    values = [r.choice([-1e60, -2.5, -0.0, 0.0, 1e-300, 3.0, r.uniform(-9, 9), r.gauss(1e6, 1)]) for _ in range(300)]
+    df = rows(spark, values).union(rows(spark, values[:170], cat="X")).union(rows(spark, values[5:100], cat="Y"))
+    for method in ("pearson", "spearman"):
+        got = [sorted((r["var_x"], r["var_y"], r["n"], round(r["correlation"], 9)) for r in correlate.correlate(df, ["datetime"], method=method, allow_missing_units=True, spread=s).collect()) for s in (True, False)]
+        assert got[0] == got[1] and len(got[0]) == 6 and {n for *_, n, _ in got[0]} == {300, 170, 95}
+    want = sorted(values)
+    out = {r["stat"]: r["value"] for r in describe.describe(df.where("pollutant = 'PM25'"), ["conc"]).collect()}
+    assert out["median"] == (want[149] + want[150]) / 2
+    assert [out[f"q{q:02d}"] for q in (5, 25, 75, 95)] == [want[int(299 * q / 100 + 0.5)] for q in (5, 25, 75, 95)]
+    odd = rows(spark, [float("inf"), float("-inf"), float("nan"), 1.0])
+    got = {r["stat"]: r["value"] for r in describe.describe(odd, ["conc"], quantiles=(0.0, 0.5, 1.0)).collect()}
+    assert (got["q00"], got["q50"]) == (float("-inf"), float("inf")) and got["q100"] != got["q100"]
+    for spot in (describe.describe(df, ["conc"]), correlate.correlate(df, ["datetime"], allow_missing_units=True)):
+        assert "collect_list" not in spot._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plans_hold_no_python(spark):
     df = rows(spark, [1.0, 2, 3])
     for out in (describe.describe(df, ["conc"]), correlate.correlate(df, ["datetime"], allow_missing_units=True), timeops.rolling_window_mean(df, keys=["site_id"])):
