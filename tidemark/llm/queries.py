@@ -102,7 +102,26 @@ def _base32(sha1_hex: str) -> str:
     return "concat(" + ", ".join(f"substr({letters}, {b} + 1, 1)" for b in bits) + ")"
 
 
+#: DuckDB SQL for the words of a text as the contract of op4 has them.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+    t AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS ws FROM benchmark),
+    v AS (SELECT DISTINCT item, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: ws[i:i + 9])) AS win FROM t WHERE len(ws) > 0),
+    k AS (SELECT row_number() OVER () AS id, item, win, len(win) AS n, array_to_string(win, ' ') AS s FROM v),
+    p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+    need AS (SELECT id, item, n, word, count(*) AS times FROM (SELECT id, item, n, unnest(win) AS word FROM k) GROUP BY ALL),
+    a AS (SELECT doc_id, z.n, unnest(range(1, len(ws) - z.n + 2)) AS i, unnest(list_transform(range(1, len(ws) - z.n + 2), lambda i: array_to_string(ws[i:i + z.n - 1], ' '))) AS s FROM d JOIN (SELECT DISTINCT n FROM k) z ON len(ws) >= z.n),
+    h AS (SELECT a.doc_id, a.i, a.n, k.item FROM a JOIN k ON a.n = k.n AND a.s = k.s),
+    hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(n)) AS j FROM h) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id),
+    o AS (SELECT p.doc_id, need.id, need.item, need.n, p.i, p.word, need.times FROM p JOIN need ON p.word = need.word),
+    f AS (SELECT doc_id, id, item, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, id ORDER BY i RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS held FROM o) WHERE held >= n),
+    g AS (SELECT f.doc_id, f.item, f.id, f.i, o.word FROM f JOIN o ON f.doc_id = o.doc_id AND f.id = o.id AND o.i BETWEEN f.i AND f.i + f.n + 2 GROUP BY ALL HAVING count(*) >= max(o.times)),
+    near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT g.doc_id, g.item FROM g JOIN (SELECT id, count(*) AS terms FROM need GROUP BY id) z ON g.id = z.id GROUP BY g.doc_id, g.item, g.id, g.i, z.terms HAVING count(*) = z.terms) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+    FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id LEFT JOIN near ON d.doc_id = near.doc_id""",
     "op5_warc": f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
     f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
     SELECT page_id, payload_bytes, {_base32('h')} AS payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
@@ -114,6 +133,17 @@ ORACLES = {
     c AS (SELECT p.doc_id, p.word, p.i, coalesce(max(m.again::INT) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0) AS gone FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.i = m.i),
     g AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
     SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON w.doc_id = g.doc_id""",
+    "op10_jaccard_join": r"""WITH RECURSIVE d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+    r AS (SELECT t, min(doc_id) AS rep, count(*) AS copies, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM d GROUP BY t),
+    s AS (SELECT DISTINCT rep, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS sh FROM r WHERE len(ws) > 0),
+    n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+    p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+    l AS (SELECT a, b FROM p JOIN n x ON p.a = x.rep JOIN n y ON p.b = y.rep WHERE common >= 0.8 * (x.n + y.n - common)),
+    c AS (SELECT rep AS x, rep AS y FROM r UNION SELECT c.x, e.b FROM c JOIN (SELECT a, b FROM l UNION SELECT u.doc_id, r.rep FROM d u JOIN r ON u.t = r.t UNION SELECT r.rep, u.doc_id FROM d u JOIN r ON u.t = r.t) e ON c.y = e.a),
+    k AS (SELECT x, min(y) AS class_id FROM c GROUP BY x),
+    m AS (SELECT a, sum(copies) AS n_links FROM l JOIN r ON l.b = r.rep GROUP BY a)
+    SELECT d.doc_id, min(k.class_id) AS class_id, min(r.rep) AS rep_id, sum(r.copies)::BIGINT AS n_copies, coalesce(sum(m.n_links), 0)::BIGINT AS n_links
+    FROM d JOIN r ON d.t = r.t JOIN k ON r.rep = k.x LEFT JOIN m ON r.rep = m.a GROUP BY d.doc_id""",
 }
 
 
