@@ -105,6 +105,10 @@ def _base32(sha1_hex: str) -> str:
 #: DuckDB SQL for the words of a text as the contract of op4 has them.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_SPACE = r" \t\n\x0B\f\r"
+_RULES = quality_rules.LineRules()
+_BOILER = " OR ".join(f"contains(low, '{x}')" for x in quality_rules.BOILERPLATE)
+
 ORACLES = {
     "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
     t AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS ws FROM benchmark),
@@ -144,6 +148,24 @@ ORACLES = {
     m AS (SELECT a, sum(copies) AS n_links FROM l JOIN r ON l.b = r.rep GROUP BY a)
     SELECT d.doc_id, min(k.class_id) AS class_id, min(r.rep) AS rep_id, sum(r.copies)::BIGINT AS n_copies, coalesce(sum(m.n_links), 0)::BIGINT AS n_links
     FROM d JOIN r ON d.t = r.t JOIN k ON r.rep = k.x LEFT JOIN m ON r.rep = m.a GROUP BY d.doc_id""",
+    "op7_quality_rules": rf"""WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS id, coalesce(text, '') AS t FROM documents),
+    l AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d),
+    x AS (SELECT id, line, list_filter(regexp_split_to_array(line, '[{_SPACE}]+'), lambda w: w <> '') AS ws, lower(line) AS low FROM l WHERE regexp_matches(line, '[^{_SPACE}]')),
+    y AS (SELECT *, length(array_to_string(ws, '')) AS chars, length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS symbols, len(ws) AS n,
+        length(line) - length(replace(line, '!!', '!')) AS shouts, length(line) - length(replace(line, '|', '')) AS bars,
+        length(regexp_replace(line, '\P{{L}}+', '', 'g')) AS letters, length(regexp_replace(line, '\P{{Lu}}+', '', 'g')) AS uppers,
+        len(list_filter(range(1, len(ws) - {_RULES.max_run} + 2), lambda i: list_unique(ws[i:i + {_RULES.max_run - 1}]) = 1)) > 0 AS stutters FROM x),
+    z AS (SELECT *, symbols > chars * {_RULES.max_symbol_share}::DOUBLE OR shouts > n * {_RULES.max_shout_share}::DOUBLE OR bars > n * {_RULES.max_bar_share}::DOUBLE
+        OR (n >= {_RULES.min_upper_words} AND uppers > letters * {_RULES.max_upper_share}::DOUBLE) OR stutters OR {_BOILER} AS fails FROM y),
+    s AS (SELECT id, sum(chars) AS chars, sum(symbols) AS symbols, count(*) - count(DISTINCT line) AS dups FROM z GROUP BY id),
+    g AS (SELECT id, sum(chars) AS remains FROM (SELECT DISTINCT id, line, chars FROM z WHERE NOT fails) GROUP BY id),
+    a AS (SELECT id, list_filter(regexp_split_to_array(t, '[{_SPACE}]+'), lambda w: w <> '') AS ws FROM d),
+    o AS (SELECT id, i, count(*) OVER (PARTITION BY id, s) > 1 AS again FROM (SELECT id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS s FROM a WHERE len(ws) > 2)),
+    r AS (SELECT id, count(DISTINCT i + j) AS repeats FROM (SELECT id, i, unnest(range(3)) AS j FROM o WHERE again) GROUP BY id),
+    q AS (SELECT d.doc_id, len(a.ws)::BIGINT AS n_words, coalesce(s.chars, 0)::BIGINT AS word_chars, coalesce(s.symbols, 0)::BIGINT AS n_symbols, coalesce(s.dups, 0)::BIGINT AS n_dup_lines, coalesce(r.repeats, 0)::BIGINT AS n_repeat_words, coalesce(g.remains, 0) AS remains
+        FROM d JOIN a ON d.id = a.id LEFT JOIN s ON d.id = s.id LEFT JOIN g ON d.id = g.id LEFT JOIN r ON d.id = r.id),
+    b AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND remains >= word_chars * {_RULES.min_kept_share}::DOUBLE AS kept FROM b""",
 }
 
 
