@@ -105,11 +105,47 @@ def _base32(sha1_hex: str) -> str:
 #: DuckDB SQL for the words of a text as the contract of op4 has them.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _draws(level: str, names: str, weights: str) -> str:
+    """DuckDB SQL for a level of the tree: the place (from 1) of the child with the largest ln(u) / weight, its name first hashed."""
+    u = f"(('0x' || substr(md5('{TOPOLOGY.seed}/' || {names}[i] || '/' || k), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE"
+    draws = f"list_transform(range(1, len({names}) + 1), lambda i: ln({u}) / {weights}[i])"
+    return f"list_position({draws}, list_max({draws})) AS {level}"
+
+
+def _tree(topology: sharding.Topology) -> dict[str, str]:
+    """The names and weights of a topology's levels as SQL lists: of its regions, by region, and by region and rack."""
+
+    def sql(x) -> str:
+        return "[" + ", ".join(map(sql, x)) + "]" if isinstance(x, list) else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+
+    racks = [[r for r in g.racks] for g in topology.regions]
+    found = {"gn": [g.name for g in topology.regions], "gw": [g.weight for g in topology.regions]}
+    found |= {"rn": [[r.name for r in g] for g in racks], "rw": [[r.weight for r in g] for g in racks]}
+    found |= {"sn": [[[f"{r.name}s{s.number}" for s in r.shards] for r in g] for g in racks], "sw": [[[s.weight for s in r.shards] for r in g] for g in racks]}
+    return {k: sql(v) for k, v in (found | {"num": [[[s.number for s in r.shards] for r in g] for g in racks]}).items()}
+
+
+def _located(source: str, topology: sharding.Topology, name: str) -> str:
+    """DuckDB SQL for the shard of each key ``k`` of a source with an ``id``."""
+    lists = ", ".join(f"{v} AS {k}" for k, v in _tree(topology).items())
+    g = f"SELECT id, k, z.*, {_draws('g', 'gn', 'gw')} FROM {source}, (SELECT {lists}) z"
+    r = f"SELECT *, {_draws('r', 'rn', 'rw')} FROM (SELECT id, k, g, rn[g] AS rn, rw[g] AS rw, sn[g] AS sn, sw[g] AS sw, num[g] AS num FROM ({g}))"
+    return f"SELECT id, num[s] AS {name} FROM (SELECT *, {_draws('s', 'sn', 'sw')} FROM (SELECT id, k, sn[r] AS sn, sw[r] AS sw, num[r] AS num FROM ({r})))"
+
+
 _SPACE = r" \t\n\x0B\f\r"
 _RULES = quality_rules.LineRules()
 _BOILER = " OR ".join(f"contains(low, '{x}')" for x in quality_rules.BOILERPLATE)
 
 ORACLES = {
+    "op1_sharding": f"""WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda c: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, c)) AS tab),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    c AS (SELECT id, xor(list_reduce(list_transform(range(strlen(t)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM d, tab),
+    s AS ({_located('d', TOPOLOGY, 'shard')}), g AS ({_located('d', TOPOLOGY.grown(), 'grown_shard')}),
+    j AS (SELECT d.doc_id, strlen(d.t) + 1 AS size, c.crc, s.shard, g.grown_shard, ('0x' || substr(md5('slot/' || d.k), 1, {sharding.BLOCK_DIGITS}))::INT AS block FROM d JOIN c ON d.id = c.id JOIN s ON d.id = s.id JOIN g ON d.id = g.id)
+    SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, crc, size) - 1)::BIGINT AS slot, grown_shard::INT AS grown_shard FROM j""",
     "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
     t AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS ws FROM benchmark),
     v AS (SELECT DISTINCT item, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: ws[i:i + 9])) AS win FROM t WHERE len(ws) > 0),

@@ -16,8 +16,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots are numbered in blocks of one shard; so many blocks a shard.
-BLOCKS = 256
+#: Slots are numbered in blocks of one shard, so many blocks a shard: 16 to the number of hash digits that name a block.
+BLOCK_DIGITS = 3
+BLOCKS = 16**BLOCK_DIGITS
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,8 @@ def shard(docs: DataFrame, topology: Topology, grown: Topology | None = None, ke
     docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def placed(df: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("slot")), F.lit(BLOCKS)).cast("int")
+        name = F.concat(F.lit("slot/"), F.coalesce(F.col("k").cast("string"), F.lit("null")))
+        block = F.conv(F.substring(F.md5(name), 1, BLOCK_DIGITS), 16, 10).cast("int")
         return df.withColumn("shard", locate(F.col("k"), topology)).withColumn("block", block)
 
     counts = placed(docs.select("k")).groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
