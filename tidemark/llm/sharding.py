@@ -110,7 +110,7 @@ def shard(docs: DataFrame, topology: Topology, grown: Topology | None = None, ke
 
     Slots are gapless from 0 in each shard. They are numbered in hashed blocks, each block from the sum of the blocks
     before it, so a shard is never gathered in one task: the only thing ranked whole is the table of block counts, whose
-    size is shards x BLOCKS.
+    size is shards x BLOCKS. The rows are joined with it where the ranking left them, without a shuffle of their own.
     """
     docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
@@ -126,7 +126,7 @@ def shard(docs: DataFrame, topology: Topology, grown: Topology | None = None, ke
     rows = placed(docs.select("k", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")))
     within = Window.partitionBy("shard", "block").orderBy("k", "text_crc32", "size")
     rows = rows.withColumn("rank", F.row_number().over(within) - 1)
-    return rows.join(F.broadcast(starts), ["shard", "block"]).select(
+    return rows.join(starts, ["shard", "block"]).select(
         F.col("k").alias(key),
         "size",
         "text_crc32",
